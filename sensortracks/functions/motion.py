@@ -1,0 +1,61 @@
+"""Constant-velocity Kalman filter as Column expressions and numpy (D3 helpers).
+
+East and north never couple (equal diagonal start, axis-alike transition, noise
+and measurement), so each axis shares one 2x2 covariance ``(p, pv, v)``:
+position variance, position-velocity covariance and velocity variance.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+from sensortracks.schema import MIN_VARIANCE
+
+
+def predict_cov(p, pv, v, dt, q):
+    """Covariance after ``dt`` seconds with acceleration variance ``q``.
+
+    Works on numpy arrays and on Spark Columns alike.
+    """
+    dt2 = dt * dt
+    return (p + dt * pv * 2 + dt2 * v + q * dt2 * dt2 / 4,
+            pv + dt * v + q * dt2 * dt / 2,
+            v + q * dt2)
+
+
+def gain(p, pv, sigma):
+    s = p + sigma * sigma
+    return p / s, pv / s
+
+
+def update_cov(p, pv, v, sigma, floor=np.maximum):
+    kp, kv = gain(p, pv, sigma)
+    return floor(p - kp * p, MIN_VARIANCE), pv - kp * pv, floor(v - kv * pv, MIN_VARIANCE)
+
+
+def mahalanobis_sq(e, n, e0, n0, p, sigma):
+    """Squared gate distance of a measurement (e, n, sigma) to a track at (e0, n0)."""
+    de, dn = e - e0, n - n0
+    return (de * de + dn * dn) / (p + sigma * sigma)
+
+
+def gate_radius(p, sigma, gate: float):
+    """Largest distance inside the gate: a gate is a circle of this radius."""
+    return (gate * (p + sigma * sigma)) ** 0.5
+
+
+# --- Column forms -----------------------------------------------------------
+
+def predict_cols(p: Column, pv: Column, v: Column, dt: Column, accel_sigma: float):
+    return predict_cov(p, pv, v, dt, F.lit(accel_sigma * accel_sigma))
+
+
+def mahalanobis_col(e: Column, n: Column, e0: Column, n0: Column, p: Column,
+                    sigma: Column) -> Column:
+    return mahalanobis_sq(e, n, e0, n0, p, sigma)
+
+
+def update_cols(p: Column, pv: Column, v: Column, sigma: Column):
+    return update_cov(p, pv, v, sigma, floor=lambda c, m: F.greatest(c, F.lit(m)))
