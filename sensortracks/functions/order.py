@@ -16,7 +16,7 @@ NULLABLE = {"alt_m", "speed_mps", "heading_deg"}
 def sorted_attributes(attributes: str | Column = "attributes") -> Column:
     """Attributes as an array of (key, value) sorted by key: comparable and hashable."""
     col = F.col(attributes) if isinstance(attributes, str) else attributes
-    return F.array_sort(F.map_entries(col))
+    return F.sort_array(F.map_entries(col))
 
 
 def canonical_order(descending: bool = False, prefix: str = "") -> list[Column]:

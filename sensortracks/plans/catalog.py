@@ -1,4 +1,4 @@
 """Import every plan module so all queries are registered."""
 
-from sensortracks.plans import ingest  # noqa: F401
+from sensortracks.plans import ingest, tracking  # noqa: F401
 from sensortracks.plans.registry import ORACLES, QUERIES  # noqa: F401

@@ -91,7 +91,9 @@ def get_session(master: str | None = None, app: str = "sensortracks",
     builder = SparkSession.builder.appName(app)
     if master or not os.environ.get("SPARK_REMOTE"):
         builder = builder.master(master or "local[*]")
-    builder = builder.config("spark.ui.enabled", "false")
+    builder = builder.config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
+    if (master or "local").startswith("local"):
+        builder = builder.config("spark.driver.memory", os.environ.get("SENSORTRACKS_DRIVER_MEMORY", "8g"))
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     for key, value in {**DEFAULT_CONF, **REQUIRED_CONF}.items():

@@ -38,8 +38,8 @@ def events_as_detections(spark: SparkSession, sf_dir: str,
     observed = F.col("ts").cast("timestamp")
     icao = F.when(uid % 11 != 0, uid.cast("string"))
     k = F.get_json_object("props", "$.k")
-    attrs = F.map_filter(F.create_map(F.lit("icao24"), icao, F.lit("k"), k),
-                         lambda _k, v: v.isNotNull())
+    attrs = F.when(icao.isNull(), F.create_map(F.lit("k"), k)).otherwise(
+        F.create_map(F.lit("icao24"), icao, F.lit("k"), k))
     out = ev.select(
         eid.alias("event_id"),
         uid.alias("user_id"),
