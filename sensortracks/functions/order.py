@@ -47,3 +47,13 @@ def identity(attributes: str | Column = "attributes") -> Column:
         v = col.getItem(key)
         picks.append(F.when(v.rlike(r"\S"), F.concat(F.lit(key + "="), v)))
     return F.coalesce(*picks)
+
+
+def sort_structs(arr: Column, *fields: str) -> Column:
+    """Sort an array of structs by some of their fields (works when a field is a map)."""
+    def cmp(a, b):
+        out = F.lit(0)
+        for f in reversed(fields):
+            out = F.when(a[f] < b[f], F.lit(-1)).when(a[f] > b[f], F.lit(1)).otherwise(out)
+        return out
+    return F.array_sort(arr, cmp)

@@ -104,3 +104,95 @@ DUCK_DETECTIONS = """
 
 def duck_detections_cte(name: str = "det") -> str:
     return f"{name} AS ({DUCK_DETECTIONS})"
+
+
+def events_as_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A track-history table derived from events (input of the track-table operators).
+
+    One row per (user, hourly tick) with at least one identified detection:
+    track_id = user_id, contributors = that tick's coalesced detections sorted
+    by source, position and velocity of the first contributor, session by
+    ten-day block, status from (user_id + hour) % 10.
+    """
+    from sensortracks.functions import geo
+    from sensortracks.functions.order import identity, sort_structs
+    from sensortracks.operators.ticks import assign_tick, coalesce_detections
+
+    d = coalesce_detections(assign_tick(events_as_detections(spark, sf_dir, keep_event_columns=True), "1 hour"))
+    d = d.filter(identity().isNotNull())
+    p = geo.to_enu(F.col("lat_deg"), F.col("lon_deg"), F.col("alt_m"), ORIGIN)
+    v = geo.velocity_components(F.col("speed_mps"), F.col("heading_deg"))
+    d = d.select("*", p.east_m.alias("e"), p.north_m.alias("n"), v.ve_mps.alias("ve"), v.vn_mps.alias("vn"))
+    contributor = F.struct("source_type", "source_id", "observed_at", "received_at", "lat_deg", "lon_deg",
+                           "alt_m", "speed_mps", "heading_deg", "sigma_m", "attributes", "event_id")
+    g = d.groupBy(F.col("user_id").alias("track_id"), F.col("tick").alias("state_at")).agg(
+        F.min(F.struct("source_type", "source_id", "e", "n", "ve", "vn")).alias("_f"),
+        F.max("observed_at").alias("last_observed_at"),
+        F.count(F.lit(1)).alias("_c"),
+        sort_structs(F.collect_list(contributor), "source_type", "source_id").alias("contributors"))
+    hour = F.floor(F.unix_micros("state_at") / F.lit(3_600_000_000)).cast("long")
+    k = (F.col("track_id") + hour) % 10
+    status = (F.when(k <= 5, "CONFIRMED").when(k <= 7, "COASTING").when(k == 8, "TENTATIVE")
+              .otherwise("DROPPED"))
+    return g.select(
+        F.concat(F.lit("s"), F.floor((F.dayofmonth("state_at") - 1) / 10).cast("string")).alias("session_id"),
+        "track_id", status.alias("status"), "state_at", "last_observed_at",
+        F.col("_f.e").alias("east_m"), F.col("_f.n").alias("north_m"),
+        F.col("_f.ve").alias("ve_mps"), F.col("_f.vn").alias("vn_mps"),
+        (F.col("_c") + F.col("track_id") % 3).cast("int").alias("hit_count"),
+        F.when(k.between(6, 7), hour % 4).otherwise(0).cast("int").alias("consecutive_misses"),
+        "contributors")
+
+
+def events_as_stage_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stage-event log derived from delivered events (input of the health operators)."""
+    dl = events_as_deliveries(spark, sf_dir)
+    eid, et = F.col("event_id"), F.col("event_type")
+    src = [F.col("source_id"), F.col("source_type")]
+    first = dl.filter(F.col("arrived_at") == F.timestamp_micros(F.unix_micros("received_at") + 5000))
+    plus = lambda ms: F.timestamp_micros(F.unix_micros("received_at") + ms * 1000)
+    parts = [
+        first.select(*src, F.lit("adapter").alias("stage"), (~((et == "error") & (eid % 3 == 0))).alias("ok"),
+                     F.col("received_at").alias("at"), F.lit(None).cast("timestamp").alias("received_at")),
+        first.select(*src, F.lit("publish").alias("stage"), (~((et == "error") & (eid % 3 == 1))).alias("ok"),
+                     plus(1).alias("at"), F.lit(None).cast("timestamp").alias("received_at")),
+        dl.select(*src, F.lit("consume").alias("stage"), F.lit(True).alias("ok"), F.col("arrived_at").alias("at"),
+                  "received_at"),
+        dl.filter(F.col("arrived_at") != F.timestamp_micros(F.unix_micros("received_at") + 5000))
+        .select(*src, F.lit("redeliver").alias("stage"), F.lit(True).alias("ok"), F.col("arrived_at").alias("at"),
+                F.lit(None).cast("timestamp").alias("received_at")),
+        first.filter(eid % 23 == 0).select(*src, F.lit("late").alias("stage"), F.lit(True).alias("ok"),
+                                          plus(600_000).alias("at"), F.lit(None).cast("timestamp").alias("received_at")),
+        first.filter(eid % 5 == 0).select(F.lit("WEATHER").alias("source_id"), F.lit("WEATHER").alias("source_type"),
+                                         F.lit("enrichment").alias("stage"), (eid % 50 != 0).alias("ok"),
+                                         plus(2).alias("at"), F.lit(None).cast("timestamp").alias("received_at")),
+        first.filter((et == "error") & (eid % 97 == 0)).select(
+            *src, F.lit("circuit").alias("stage"), F.lit(True).alias("ok"), plus(3).alias("at"),
+            F.lit(None).cast("timestamp").alias("received_at")),
+    ]
+    out = parts[0]
+    for p_ in parts[1:]:
+        out = out.unionByName(p_)
+    return out
+
+
+DUCK_HISTORY = """
+  co1h AS (SELECT * FROM (
+        SELECT *, row_number() OVER (PARTITION BY tick_us, source_type, source_id, icao24
+                                     ORDER BY {desc}) AS rn
+        FROM (SELECT *, {tick} AS tick_us, {entries} AS attr_entries FROM det))
+      WHERE icao24 IS NOT NULL AND rn = 1),
+  hist AS (
+    SELECT 's' || ((day(make_timestamp(tick_us)) - 1) // 10)::VARCHAR AS session_id,
+           user_id AS track_id,
+           CASE WHEN (user_id + tick_us // 3600000000) % 10 <= 5 THEN 'CONFIRMED'
+                WHEN (user_id + tick_us // 3600000000) % 10 <= 7 THEN 'COASTING'
+                WHEN (user_id + tick_us // 3600000000) % 10 = 8 THEN 'TENTATIVE' ELSE 'DROPPED' END AS status,
+           tick_us AS state_us, max(epoch_us(observed_at)) AS last_observed_us,
+           arg_min({e}, source_type || '|' || source_id) AS east_m,
+           arg_min({n}, source_type || '|' || source_id) AS north_m,
+           max(alt_m) AS alt_m,
+           count(*) + user_id % 3 AS hit_count,
+           string_agg(source_type, ',' ORDER BY source_type, source_id) AS types,
+           count(DISTINCT source_type) AS n_types
+    FROM co1h GROUP BY user_id, tick_us)"""
