@@ -239,3 +239,99 @@ def q_e2e(spark, sf_dir):
     out = classify_outcomes(outcome_input(spark, sf_dir), as_of="2024-01-30 12:00:00",
                             lateness="2 seconds", flush="500 ms")
     return health.end_to_end_latency(out)
+
+
+def _truth_inputs(spark, sf_dir):
+    d = events_as_detections(spark, sf_dir, keep_event_columns=True)
+    pairs = d.select((F.col("user_id") % 60).alias("track_id"),
+                     F.concat(F.lit("truth-"), (F.col("user_id") % 45).cast("string")).alias("truth")).distinct()
+    truths = d.select(F.concat(F.lit("truth-"), (F.col("user_id") % 47).cast("string")).alias("truth")).distinct()
+    return d, pairs, truths
+
+
+_DUCK_TRUTH = """pairs AS (SELECT DISTINCT user_id % 60 AS track_id, 'truth-' || (user_id % 45)::VARCHAR AS truth FROM det),
+truths AS (SELECT DISTINCT 'truth-' || (user_id % 47)::VARCHAR AS truth FROM det),
+alltruth AS (SELECT truth FROM truths UNION SELECT truth FROM pairs),
+integ AS (SELECT
+  (SELECT count(*) FROM (SELECT track_id FROM pairs GROUP BY track_id HAVING count(DISTINCT truth) > 1)) AS impure_tracks,
+  (SELECT count(*) FROM alltruth WHERE truth NOT IN (SELECT truth FROM pairs)) AS missing_truths,
+  (SELECT count(*) FROM (SELECT truth FROM pairs GROUP BY truth HAVING count(DISTINCT track_id) > 1)) AS fragmented_truths),
+red AS (SELECT (SELECT count(DISTINCT truth) FROM truths) AS truth_objects,
+               (SELECT count(DISTINCT truth) FROM truths) * (SELECT count(DISTINCT source_type) FROM det) AS source_specific_tracks,
+               (SELECT count(DISTINCT track_id) FROM pairs) AS fused_tracks)"""
+
+
+@register("truth_integrity", duck.with_det("SELECT * FROM integ", _DUCK_TRUTH))
+def q_integrity(spark, sf_dir):
+    _, pairs, truths = _truth_inputs(spark, sf_dir)
+    return evaluate.truth_integrity(pairs, truths)
+
+
+@register("duplicate_reduction", duck.with_det("""
+SELECT truth_objects, source_specific_tracks, fused_tracks,
+       round(greatest(0.0, 1 - fused_tracks / source_specific_tracks) * 100, 3) AS reduction_percent FROM red""",
+    _DUCK_TRUTH))
+def q_reduction(spark, sf_dir):
+    d, pairs, truths = _truth_inputs(spark, sf_dir)
+    return evaluate.duplicate_reduction(pairs, truths, d.select("source_type"))
+
+
+_DUCK_CREDIT = _HIST + """,
+grp AS (SELECT *, row_number() OVER (PARTITION BY source_type, source_id, user_id, tick_us ORDER BY """ + \
+    duck.CANONICAL_DESC + """) AS grn
+        FROM (SELECT *, """ + duck.tick_us("observed_at", 3_600_000_000) + """ AS tick_us, """ + duck.attr_entries() + \
+    """ AS attr_entries FROM det)),
+reps AS (SELECT source_type, source_id, user_id, tick_us, event_id AS rep FROM grp WHERE grn = 1),
+credited AS (SELECT g.event_id, g.received_at FROM grp g JOIN reps USING (source_type, source_id, user_id, tick_us)
+             WHERE reps.rep IN (SELECT event_id FROM co1h))"""
+
+
+def _credited(spark, sf_dir):
+    d = events_as_detections(spark, sf_dir, keep_event_columns=True)
+    d = d.withColumn("truth", F.concat(F.lit("u"), F.col("user_id").cast("string")))
+    d = d.withColumn("tick", F.timestamp_micros(
+        F.unix_micros("observed_at") - F.pmod(F.unix_micros("observed_at"), F.lit(3_600_000_000)) + 3_600_000_000))
+    contrib = events_as_history(spark, sf_dir).select(F.explode("contributors").alias("c")).select(
+        F.col("c.event_id").alias("event_id"))
+    return d, evaluate.credit_observations(d, contrib, truth="truth", det_id="event_id", tick="tick")
+
+
+@register("credit_observations", duck.with_det("SELECT event_id FROM credited", _DUCK_CREDIT))
+def q_credit(spark, sf_dir):
+    _, c = _credited(spark, sf_dir)
+    return c.select("event_id")
+
+
+@register("delivery_report", duck.with_det("""
+SELECT (SELECT count(*) FROM det) AS input_messages, (SELECT count(*) FROM credited) AS latency_samples,
+       round((SELECT count(*) FROM credited) / (SELECT count(*) FROM det), 4) AS delivery_ratio,
+       round((SELECT count(*) FROM det) / greatest((epoch_us(max(received_at)) - epoch_us(min(received_at))) / 1e6, 1e-9), 3)
+         AS throughput_per_second
+FROM det""", _DUCK_CREDIT))
+def q_delivery(spark, sf_dir):
+    d, c = _credited(spark, sf_dir)
+    return evaluate.delivery_report(d, c)
+
+
+@register("acceptance", duck.with_det("""
+SELECT passed, failures FROM (
+  SELECT len(f) = 0 AS passed, array_to_string(f, '|') AS failures FROM (
+    SELECT list_filter([
+      CASE WHEN delivery_ratio < 0.9 THEN printf('delivery ratio %.4f is below %.4f', delivery_ratio, 0.9) END,
+      CASE WHEN impure_tracks > 0 THEN printf('%d tracks mix ground-truth objects', impure_tracks) END,
+      CASE WHEN missing_truths > 0 THEN printf('%d ground-truth objects are missing', missing_truths) END,
+      CASE WHEN fragmented_truths > 0 THEN printf('%d ground-truth objects are fragmented', fragmented_truths) END
+    ], lambda x: x IS NOT NULL) AS f
+    FROM (SELECT round((SELECT count(*) FROM credited) / (SELECT count(*) FROM det), 4) AS delivery_ratio, integ.*
+          FROM integ)))""", _DUCK_CREDIT + ",\n" + _DUCK_TRUTH))
+def q_acceptance(spark, sf_dir):
+    d, c = _credited(spark, sf_dir)
+    _, pairs, truths = _truth_inputs(spark, sf_dir)
+    rep = evaluate.delivery_report(d, c).select("delivery_ratio")
+    integ = evaluate.truth_integrity(pairs, truths)
+    report = (rep.withColumn("impure_tracks", integ.select("impure_tracks").scalar())
+              .withColumn("missing_truths", integ.select("missing_truths").scalar())
+              .withColumn("fragmented_truths", integ.select("fragmented_truths").scalar())
+              .withColumn("receiver_errors", F.lit(0)))
+    out = evaluate.acceptance(report, min_delivery_ratio=0.9)
+    return out.select("passed", F.array_join("failures", "|").alias("failures"))
