@@ -62,18 +62,49 @@ def kalman_filter(df: DataFrame, key: list[str] | str, time_col: str = "observed
                                         T.StructField("t_us", T.LongType())]
                           + [T.StructField(c, T.DoubleType()) for c in _STATE])
     sort_cols = ["_t"] + [f"_o{i}" for i in range(len(order_cols))]
+    q = accel_sigma * accel_sigma
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(sort_cols, kind="mergesort").reset_index(drop=True)
-        t = pdf["_t"].to_numpy(dtype=np.int64)
-        st = filter_sequence(t, pdf["_e"].to_numpy(float), pdf["_n"].to_numpy(float),
-                             pdf["_s"].to_numpy(float), float(pdf["_ve"].iloc[0]),
-                             float(pdf["_vn"].iloc[0]), accel_sigma)
-        out = pdf[keys].copy()
-        out["seq"] = np.arange(1, len(pdf) + 1, dtype=np.int64)
-        out["t_us"] = t
-        for i, c in enumerate(_STATE):
-            out[c] = st[:, i]
-        return out
+    def run(batches):
+        # Rows arrive hash-partitioned by key and sorted by (key, time): each key
+        # is one contiguous run, possibly spread over several Arrow batches.  The
+        # state of the current key is carried across batches, so memory stays
+        # bounded by one batch however many rows a key has.
+        cur, st, seq = None, None, 0
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            kv = list(zip(*[pdf[k].tolist() for k in keys]))
+            t = pdf["_t"].to_numpy(np.int64)
+            e, n, sg = pdf["_e"].to_numpy(float), pdf["_n"].to_numpy(float), pdf["_s"].to_numpy(float)
+            ve0, vn0 = pdf["_ve"].to_numpy(float), pdf["_vn"].to_numpy(float)
+            out = np.empty((len(pdf), 7))
+            seqs = np.empty(len(pdf), dtype=np.int64)
+            for i in range(len(pdf)):
+                if kv[i] != cur:
+                    cur, seq = kv[i], 1
+                    st = [e[i], n[i], ve0[i], vn0[i], sg[i] * sg[i], 0.0, INITIAL_VELOCITY_VARIANCE, t[i]]
+                else:
+                    seq += 1
+                    se, sn, sve, svn, p, pv, v, t0 = st
+                    dt = (t[i] - t0) / 1e6
+                    if dt > 0:
+                        dt2 = dt * dt
+                        se, sn = se + sve * dt, sn + svn * dt
+                        p, pv, v = (p + dt * pv * 2 + dt2 * v + q * dt2 * dt2 / 4,
+                                    pv + dt * v + q * dt2 * dt / 2, v + q * dt2)
+                    s_ = p + sg[i] * sg[i]
+                    kp, kv_ = p / s_, pv / s_
+                    re, rn = e[i] - se, n[i] - sn
+                    st = [se + kp * re, sn + kp * rn, sve + kv_ * re, svn + kv_ * rn,
+                          max(p - kp * p, MIN_VARIANCE), pv - kp * pv, max(v - kv_ * pv, MIN_VARIANCE), t[i]]
+                out[i] = st[:7]
+                seqs[i] = seq
+            res = pdf[keys].copy()
+            res["seq"] = seqs
+            res["t_us"] = t
+            for j, c in enumerate(_STATE):
+                res[c] = out[:, j]
+            yield res
 
-    return prepared.groupBy(*keys).applyInPandas(run, schema)
+    ordered = prepared.repartition(*keys).sortWithinPartitions(*keys, *sort_cols)
+    return ordered.mapInPandas(run, schema)
