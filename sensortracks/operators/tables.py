@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -92,6 +93,7 @@ def apply_track_events(events: DataFrame, seq: str = "seq") -> DataFrame:
     """
     # All decisions are made on the small per-event table (no track payloads);
     # payloads are joined back only for the events that survive.
+    events = events.persist(StorageLevel.MEMORY_AND_DISK)
     meta = events.select("session_id", seq, "version", "snapshot").persist()
     last_session = meta.select(F.max_by("session_id", F.col(seq))).scalar()
     last_change = meta.filter(F.col("session_id") != last_session).select(F.max(seq)).scalar()

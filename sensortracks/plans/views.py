@@ -79,7 +79,7 @@ def q_deltas(spark, sf_dir):
 def track_events(spark, sf_dir):
     """Deltas of the derived history as a change feed: every 24th version is sent as a
     snapshot, every 10th (from 3) once more five places later (a stale copy)."""
-    d = tables.track_deltas(events_as_history(spark, sf_dir))
+    d = tables.track_deltas(events_as_history(spark, sf_dir)).persist()
     sess = F.substring("session_id", 2, 4).cast("long")
     base = d.withColumn("seq", sess * 1_000_000 + F.col("version") * 10) \
         .withColumn("snapshot", F.col("version") % 24 == 0)
