@@ -170,8 +170,6 @@ def q_read_detections(spark, sf_dir):
     epoch = F.format_string("%d.%06d", F.floor(F.unix_micros("observed_at") / 1_000_000),
                             F.pmod(F.unix_micros("observed_at"), F.lit(1_000_000)))
     iso = F.date_format("observed_at", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
-    kv = to_keyed_json(d).select("value")
-    kv = d.select(F.col("event_id"), to_keyed_json(d)["value"] if False else F.lit(None)).drop("event_id")  # noqa
     out = d.select(F.to_json(F.struct(
         F.col("source_id").alias("sourceId"), F.col("source_type").alias("sourceType"),
         F.when(F.col("event_id") % 2 == 0, iso).otherwise(epoch).alias("observedAt"),
@@ -216,23 +214,13 @@ def q_bbox(spark, sf_dir):
 @register("to_keyed_json", duck.with_det("""
 SELECT event_id, source_type || ':' || source_id AS key, lat_deg, sigma_m, icao24 FROM det"""))
 def q_keyed(spark, sf_dir):
-    d = events_as_detections(spark, sf_dir)
-    kv = d.select("event_id", to_keyed_json(d.drop("event_id")).alias("kv")) if False else None  # noqa
-    k = d.select("event_id", F.concat_ws(":", "source_type", "source_id").alias("_k"),
-                 to_keyed_json_value(d).alias("value"))
-    return k.select("event_id", F.col("_k").alias("key"),
+    k = to_keyed_json(events_as_detections(spark, sf_dir), "event_id")
+    return k.select("event_id", "key",
                     F.get_json_object("value", "$.latDeg").cast("double").alias("lat_deg"),
                     F.get_json_object("value", "$.positionSigmaMeters").cast("double").alias("sigma_m"),
                     F.get_json_object("value", "$.attributes.icao24").alias("icao24"))
 
 
-def to_keyed_json_value(d):
-    return to_keyed_json(d).select("value").columns and F.to_json(F.struct(
-        F.col("source_id").alias("sourceId"), F.col("source_type").alias("sourceType"),
-        F.col("lat_deg").alias("latDeg"), F.col("lon_deg").alias("lonDeg"),
-        F.col("sigma_m").alias("positionSigmaMeters"), F.col("attributes").alias("attributes")))
-
-
 WEATHER_TTL = "45 minutes"
 
 
