@@ -73,3 +73,11 @@ def op10_quality(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return quality_verdict(docs).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+@register("op4_langid")
+def op4_langid(spark, sf_dir):
+    from sensortracks.llm.langid import identify_documents
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return identify_documents(docs).select("doc_id", "held_out", "lang_pred", "score")
