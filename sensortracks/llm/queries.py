@@ -81,3 +81,10 @@ def op4_langid(spark, sf_dir):
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     return identify_documents(docs).select("doc_id", "held_out", "lang_pred", "score")
+
+
+@register("op1_ctw")
+def op1_ctw(spark, sf_dir):
+    from sensortracks.llm.ctw import score_documents
+
+    return score_documents(table(spark, sf_dir, "documents"))
