@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from sensortracks.llm.common import prepare, table
 
+BPE_FILE = "byte_bpe_50k.json"
+
 QUERIES: dict[str, Callable] = {}
 ORACLES: dict[str, str] = {}
 
@@ -88,3 +90,17 @@ def op1_ctw(spark, sf_dir):
     from sensortracks.llm.ctw import score_documents
 
     return score_documents(table(spark, sf_dir, "documents"))
+
+
+def bpe_path() -> str:
+    """The vocabulary file of the installed tokenizer package; the same on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(BPE_FILE)
+
+
+@register("op6_bpe")
+def op6_bpe(spark, sf_dir):
+    from sensortracks.llm.bpe import digests
+
+    return digests(table(spark, sf_dir, "documents"), bpe_path())
