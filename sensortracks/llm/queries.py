@@ -104,3 +104,12 @@ def op6_bpe(spark, sf_dir):
     from sensortracks.llm.bpe import digests
 
     return digests(table(spark, sf_dir, "documents"), bpe_path())
+
+
+@register("op7_pack")
+def op7_pack(spark, sf_dir):
+    from sensortracks.llm.pack import pack_documents
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pack_documents(docs, bpe_path()).select(
+        "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
