@@ -113,3 +113,10 @@ def op7_pack(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return pack_documents(docs, bpe_path()).select(
         "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+@register("op8_pii")
+def op8_pii(spark, sf_dir):
+    from sensortracks.llm.pii import report
+
+    return report(table(spark, sf_dir, "documents"))
