@@ -295,10 +295,14 @@ def _joined(spans: str):
         ":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+def _count(spans: str, kind: str):
+    return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
+
+
 def report(docs: DataFrame) -> DataFrame:
     """doc_id, the number of base spans of each kind, the digest of the base and all spans as text."""
     found = find_personal(docs.select("doc_id", "text"), learn_field(docs))
-    counts = [F.size(F.filter("base_spans", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in KINDS]
+    counts = [_count("base_spans", k).alias(f"n_{k}") for k in KINDS]
     return found.select("doc_id", *counts, F.sha2(_joined("base_spans"), 256).alias("base_sha256"),
                         _joined("spans").alias("spans"))
 
