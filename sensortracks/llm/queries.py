@@ -120,3 +120,11 @@ def op8_pii(spark, sf_dir):
     from sensortracks.llm.pii import report
 
     return report(table(spark, sf_dir, "documents"))
+
+
+@register("op9_html")
+def op9_html(spark, sf_dir):
+    from sensortracks.llm.htmltext import extract
+
+    return extract(table(spark, sf_dir, "pages")).select(
+        "page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
