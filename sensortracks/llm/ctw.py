@@ -27,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -187,6 +188,21 @@ class Table:
         return np.where(there, self.values[at], 0.0), there
 
 
+def frequent(counts: DataFrame, top: int) -> pa.Table:
+    """The rows of ``counts`` with the largest n, as many whole steps of n (a sixteenth of a power of two) as fit in ``top``.
+
+    Only a histogram of the steps and at most ``top`` rows reach the driver.
+    """
+    step = F.floor(16 * F.log2(F.col("n") + 1)).cast("int")
+    room, least = top, 1
+    for row in sorted(counts.filter("n > 0").groupBy(step.alias("step")).count().collect(), reverse=True):
+        if row["count"] > room:
+            least = row["step"] + 1
+            break
+        room -= row["count"]
+    return counts.filter((F.col("n") > 0) & (step >= least)).toArrow().sort_by([("n", "descending")])
+
+
 _PART = "rid long, kind int, key binary, n long, tokens long, known long, base double, score double, bytes long"
 
 
@@ -251,11 +267,11 @@ def score_documents(docs: DataFrame, depth: int = DEPTH, top: int = TOP) -> Data
     words = saved(word_counts(rows.filter(train)))
     total, kinds = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     grams = saved(gram_log_probs(saved(gram_counts(rows, train, depth=depth)), depth))
-    best = words.orderBy(F.desc("n"), "word").limit(top).toPandas()
-    common = (list(map(bytes, best["word"])), np.log10(best["n"].to_numpy(float) + 1).tolist())
-    best = grams.orderBy(F.desc("n"), "gram").limit(top).toPandas()
-    frequent = (best["gram"].to_numpy(np.int64), best["lp"].to_numpy(float))
-    score = _scorer(spark.sparkContext.broadcast(common), spark.sparkContext.broadcast(frequent), depth)
+    best = frequent(words, top)
+    common = (best["word"].to_pylist(), np.log10(best["n"].to_numpy() + 1.0).tolist())
+    best = frequent(grams, top)
+    often = (best["gram"].to_numpy(), best["lp"].to_numpy())
+    score = _scorer(spark.sparkContext.broadcast(common), spark.sparkContext.broadcast(often), depth)
     ids = rows.withColumn("rid", F.monotonically_increasing_id())
     parts = ids.select("rid", "text").mapInPandas(score, _PART)
     values = words.select(F.lit(1).alias("kind"), F.col("word").alias("key"), F.log10(F.col("n") + 1).alias("v")).union(
