@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings the operators need for correct results, whatever the cluster.
 REQUIRED_CONF = {
@@ -86,6 +87,26 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or local
 
 
+def written(df: DataFrame, paths: list[str] | None = None) -> DataFrame:
+    """``df`` written as a table in the shared folder and read again; its path is added to ``paths``.
+
+    Unlike a checkpoint, the table has its true size as statistics, so loops that
+    join their own results plan every round alike.
+    """
+    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    if paths is not None:
+        paths.append(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def discard(spark: SparkSession, paths: list[str]) -> None:
+    """Delete tables made by ``written`` that nothing reads any more."""
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def get_session(master: str | None = None, app: str = "sensortracks",
                 shuffle_partitions: int | None = None) -> SparkSession:
     builder = SparkSession.builder.appName(app)
