@@ -128,3 +128,11 @@ def op9_html(spark, sf_dir):
 
     return extract(table(spark, sf_dir, "pages")).select(
         "page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
+@register("op5_neardup")
+def op5_neardup(spark, sf_dir):
+    from sensortracks.llm.neardup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_shingles", "component_id", "kept")
