@@ -136,3 +136,10 @@ def op5_neardup(spark, sf_dir):
 
     return near_duplicates(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_shingles", "component_id", "kept")
+
+
+@register("op3_permindex")
+def op3_permindex(spark, sf_dir):
+    from sensortracks.llm.permindex import nearest
+
+    return nearest(table(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 50 == 0)
