@@ -19,10 +19,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sensortracks.llm.bpe import encoder, groups_of_texts
+from sensortracks.llm.bpe import PATTERN, encoder
 from sensortracks.llm.common import saved
 
 TOKENS = 1024
@@ -31,6 +32,7 @@ GROUP = 8192
 ROUNDS = 2
 SPARE = 0.01
 WEIGHTS = (1.0, 0.01, 0.01)
+LONG = 200_000
 SEPARATOR = 2  # fixed value: the id that closes a document
 
 
@@ -42,16 +44,42 @@ def cut(n: int, capacity: int) -> Iterator[tuple[int, int, int]]:
         yield k, start, capacity
 
 
+class Ids:
+    """Ids of a tokenizer file's vocabulary by the compiled encoder of an installed library.
+
+    The file's merges are in the order of their ids, so its tokens serve as ranks;
+    special tokens in a text become their ids.  Very long texts go through the tree encoder
+    of ``bpe``, whose work and memory are bounded; ids are the same.
+    """
+
+    def __init__(self, path: str):
+        self.tree = encoder(path)
+        special = self.tree.special
+        ranks = {b: i for i, b in self.tree.bytes_of.items() if i not in special.values()}
+        self.enc = tiktoken.Encoding("packing", pat_str=PATTERN.replace(r"\p{White_Space}", r"\s").replace(
+            r"\P{White_Space}", r"\S"), mergeable_ranks=ranks, special_tokens=special)
+
+    def __call__(self, text: str | None) -> np.ndarray:
+        if text and len(text) > LONG:
+            return np.frombuffer(self.tree.encode_many([text])[0], "<u4")
+        return self.enc.encode_to_numpy(text or "", allowed_special="all").astype("<u4", copy=False)
+
+
+_IDS: dict[str, Ids] = {}
+
+
 def pieces_of(docs: DataFrame, path: str, text: str = "text", capacity: int = TOKENS) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32) of every document's ids with the closing id."""
 
     def made(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        enc = encoder(path)
-        end = np.array([SEPARATOR], "<u4").tobytes()
+        if path not in _IDS:
+            _IDS[path] = Ids(path)
+        ids_of = _IDS[path]
         for pdf in batches:
-            ids = [x + end for part in groups_of_texts(pdf["text"].tolist()) for x in enc.encode_many(part)]
-            out = [(at, k, s, n, zlib.crc32(x[4 * s:4 * (s + n)]))
-                   for at, x in enumerate(ids) for k, s, n in cut(len(x) // 4, capacity)]
+            out = []
+            for at, text in enumerate(pdf["text"]):
+                ids = np.append(ids_of(text), np.uint32(SEPARATOR))
+                out += [(at, k, s, n, zlib.crc32(ids[s:s + n].data)) for k, s, n in cut(len(ids), capacity)]
             got = pd.DataFrame(out, columns=["at", "piece", "start", "length", "ids_crc32"])
             got.insert(0, "doc_id", pdf["doc_id"].astype("Int64").array[got.pop("at").to_numpy(int)])
             yield got
