@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sensortracks.session import checkpoint_dir, ship_package
+from sensortracks.session import checkpoint_dir, ship_package, written  # noqa: F401
 
 # The white space that separates words (space, tab, LF, VT, FF, CR).
 WHITE = " \t\n\x0b\x0c\r"
