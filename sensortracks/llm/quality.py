@@ -51,13 +51,16 @@ def with_base_counts(df: DataFrame, text: str = "text", words: str = "_words") -
         F.col(starts), F.struct(F.lit(0).cast("long").alias("n"), F.lit(-3).alias("last")),
         lambda a, s: F.struct((a["n"] + F.least(F.lit(3), s - a["last"])).alias("n"), s.alias("last")),
         lambda a: a["n"])
+    # Always true, but not deterministic: a filter on the counts stays above this projection and
+    # does not copy the array expressions into itself once for every element.
+    here = F.monotonically_increasing_id() >= 0
     return (out
             .withColumn("n_words", F.size(w).cast("long"))
             .withColumn("word_chars", F.char_length(F.translate(t, WHITE, "")).cast("long"))
             .withColumn("n_symbols", (F.char_length(t) - F.char_length(F.translate(t, SYMBOLS, ""))).cast("long"))
             .withColumn("n_dup_lines", (F.size(lines) - F.size(F.array_distinct(lines))).cast("long"))
             .withColumn("n_lines", F.size(lines).cast("long"))
-            .withColumn("n_repeat_words", F.coalesce(covered, F.lit(0)).cast("long"))
+            .withColumn("n_repeat_words", F.when(here, F.coalesce(covered, F.lit(0)).cast("long")))
             .withColumn("base_failed", (F.col("n_words") < MIN_WORDS)
                         | (100 * F.col("n_repeat_words") > MAX_REPEAT_PCT * F.col("n_words")))
             .drop(lines, windows, starts))
