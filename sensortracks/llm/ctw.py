@@ -13,8 +13,8 @@ level by level with grouped sums.  The learned weights are then fixed: a text's
 probability is the product over its bytes of the mixture's conditional
 probabilities, so every text is scored by the same model whatever the order.
 
-The table of grams (distinct 5-byte windows) and that of words grow with the corpus and stay
-distributed.  Only the most frequent ``TOP`` entries of each go to every task, a
+The table of grams (distinct 6-byte windows) and that of words grow with the corpus and stay
+distributed.  Only the most frequent entries of each (``TOP_WORDS``, ``TOP_GRAMS``) go to every task, a
 bound on memory, not on results: other entries of a text leave the task as rows and
 meet their values in a join.  Frequent keys never reach that join, so it has no hot key.
 """
@@ -31,10 +31,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sensortracks.llm.common import held_out, merged, runs, saved
+from sensortracks.llm.common import held_out, merged, runs, written
 
-DEPTH = 4
-TOP = 1 << 18
+DEPTH = 5
+TOP_WORDS = 1 << 18
+TOP_GRAMS = 1 << 20
 CHUNK_BYTES = 1 << 20
 END = 0xFF  # occurs in no UTF-8 text: closes a text, and pads the context before its first byte
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -138,7 +139,7 @@ def gram_log_probs(counts: DataFrame, depth: int = DEPTH) -> DataFrame:
     level = bits.groupBy("ctx", "so_far").agg(
         F.sum(F.when(F.col("bit") == 0, F.col("n")).otherwise(0)).alias("n0"),
         F.sum(F.when(F.col("bit") == 1, F.col("n")).otherwise(0)).alias("n1"))
-    level = saved(level.withColumn("pw", _log_kt(F.col("n0"), F.col("n1"))).withColumn("stop", F.lit(1.0)))
+    level = written(level.withColumn("pw", _log_kt(F.col("n0"), F.col("n1"))).withColumn("stop", F.lit(1.0)))
     levels = [level]
     for d in range(depth - 1, -1, -1):
         below = level.withColumn("ctx", F.col("ctx").bitwiseAND(256 ** d - 1))
@@ -148,7 +149,7 @@ def gram_log_probs(counts: DataFrame, depth: int = DEPTH) -> DataFrame:
             "top", F.greatest("pe", "kids"))
         level = level.withColumn("pw", F.col("top") + F.log(
             0.5 * F.exp(F.col("pe") - F.col("top")) + 0.5 * F.exp(F.col("kids") - F.col("top"))))
-        level = saved(level.select("ctx", "so_far", "n0", "n1", "pw",
+        level = written(level.select("ctx", "so_far", "n0", "n1", "pw",
                                    F.least(F.lit(1.0), 0.5 * F.exp(F.col("pe") - F.col("pw"))).alias("stop")))
         levels.append(level)
     one = (F.col("n1") + 0.5) / (F.col("n0") + F.col("n1") + 1)
@@ -169,23 +170,39 @@ def gram_log_probs(counts: DataFrame, depth: int = DEPTH) -> DataFrame:
 
 
 class Table:
-    """Fixed-size hash table of gram keys; a key that lost its slot counts as absent."""
+    """Hash table of fixed size from gram keys to values, two slots a key; a key that lost both counts as absent."""
 
-    def __init__(self, keys: np.ndarray, values: np.ndarray, bits: int = 21):
-        self.shift = 64 - bits
+    FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], np.uint64)
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray, bits: int = 22):
+        """``keys`` come with the most frequent first; those win a slot."""
+        self.shift = np.uint64(64 - bits)
         self.keys = np.full(1 << bits, -1, np.int64)
         self.values = np.zeros(1 << bits)
-        at = self.slot(keys[::-1])
-        self.keys[at] = keys[::-1]
-        self.values[at] = values[::-1]
-
-    def slot(self, keys: np.ndarray) -> np.ndarray:
-        return (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(self.shift)).astype(np.int64)
+        for factor in self.FACTORS:
+            at = self.slot(keys, factor)
+            free = self.keys[at] == -1
+            at, keys_in, values_in = at[free][::-1], keys[free][::-1], values[free][::-1]
+            self.keys[at] = keys_in
+            self.values[at] = values_in
+            lost = self.keys[self.slot(keys, factor)] != keys
+            keys, values = keys[lost], values[lost]
+
+    def slot(self, keys: np.ndarray, factor: np.uint64) -> np.ndarray:
+        return (keys.astype(np.uint64) * factor >> self.shift).astype(np.int64)
 
     def get(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        at = self.slot(keys)
+        """Values (0 where absent) and which keys are there."""
+        at = self.slot(keys, self.FACTORS[0])
         there = self.keys[at] == keys
-        return np.where(there, self.values[at], 0.0), there
+        out = np.where(there, self.values[at], 0.0)
+        rest = np.flatnonzero(~there)
+        if len(rest):
+            at = self.slot(keys[rest], self.FACTORS[1])
+            found = self.keys[at] == keys[rest]
+            out[rest[found]] = self.values[at[found]]
+            there[rest[found]] = True
+        return out, there
 
 
 def frequent(counts: DataFrame, top: int) -> pa.Table:
@@ -206,6 +223,12 @@ def frequent(counts: DataFrame, top: int) -> pa.Table:
 _PART = "rid long, kind int, key binary, n long, tokens long, known long, base double, score double, bytes long"
 
 
+def _keys(grams: np.ndarray) -> list[bytes]:
+    """Eight bytes a gram, most significant first."""
+    data = grams.astype(">i8").tobytes()
+    return [data[i:i + 8] for i in range(0, len(data), 8)]
+
+
 def _scorer(words, grams, depth: int):
     tables: list = []
 
@@ -248,12 +271,13 @@ def _scorer(words, grams, depth: int):
                     first = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (miss[1:] != miss[:-1])])
                     yield pd.DataFrame({
                         "rid": rids[a:b][row[first]], "kind": 2,
-                        "key": [k.tobytes() for k in miss[first].astype(">i8")],
+                        "key": _keys(miss[first]),
                         "n": np.diff(np.r_[first, len(row)]), **none})
     return score
 
 
-def score_documents(docs: DataFrame, depth: int = DEPTH, top: int = TOP) -> DataFrame:
+def score_documents(docs: DataFrame, depth: int = DEPTH, top_words: int = TOP_WORDS,
+                    top_grams: int = TOP_GRAMS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte of every document.
 
     Learns from documents that are not held out (crc32 of the id modulo 7 is not 2).
@@ -264,12 +288,12 @@ def score_documents(docs: DataFrame, depth: int = DEPTH, top: int = TOP) -> Data
     spark = docs.sparkSession
     rows = docs.select("doc_id", "text")
     train = ~held_out("doc_id", 7)
-    words = saved(word_counts(rows.filter(train)))
+    words = written(word_counts(rows.filter(train)))
     total, kinds = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    grams = saved(gram_log_probs(saved(gram_counts(rows, train, depth=depth)), depth))
-    best = frequent(words, top)
+    grams = written(gram_log_probs(written(gram_counts(rows, train, depth=depth)), depth))
+    best = frequent(words, top_words)
     common = (best["word"].to_pylist(), np.log10(best["n"].to_numpy() + 1.0).tolist())
-    best = frequent(grams, top)
+    best = frequent(grams, top_grams)
     often = (best["gram"].to_numpy(), best["lp"].to_numpy())
     score = _scorer(spark.sparkContext.broadcast(common), spark.sparkContext.broadcast(often), depth)
     ids = rows.withColumn("rid", F.monotonically_increasing_id())
