@@ -190,7 +190,7 @@ def test_pieces_and_sequences(spark):
     many = spark.range(6000).select((F.pmod(F.xxhash64("id"), F.lit(1024)) + 1).alias("length"), F.lit(1).alias("offset"))
     placed = pack(many, group=500).toPandas()
     assert placed.groupby("sequence_id")["length"].sum().max() <= 1024
-    assert placed["sequence_id"].nunique() <= 1.01 * placed["length"].sum() / 1024 + 1
+    assert placed["sequence_id"].nunique() <= 1.015 * placed["length"].sum() / 1024 + 1
 
 
 # pipeline
