@@ -64,30 +64,25 @@ def truth_integrity(track_truths: DataFrame, truths: DataFrame) -> DataFrame:
 
 def acceptance(report: DataFrame, min_delivery_ratio: float = 1.0, max_p99_ms: float | None = None,
                min_reduction_percent: float | None = None, allow_fragmentation: bool = False) -> DataFrame:
-    """pass/fail with reasons for a one-row report.
+    """``passed`` and the failed checks of a one-row report, each with its value and limit.
 
     Report columns: delivery_ratio, p99_ms, reduction_percent, impure_tracks,
-    missing_truths, fragmented_truths, receiver_errors.
+    missing_truths, fragmented_truths, receiver_errors.  ``failures`` is an array of
+    struct(check, value, limit); a value that is missing where a limit is set fails.
     """
-    checks = [
-        (F.col("delivery_ratio") < F.lit(min_delivery_ratio),
-         F.format_string("delivery ratio %.4f is below %.4f", F.col("delivery_ratio"), F.lit(min_delivery_ratio))),
-    ]
-    if max_p99_ms is not None:
-        checks.append((F.col("p99_ms").isNull() | (F.col("p99_ms") > F.lit(max_p99_ms)),
-                       F.format_string("p99 latency %s ms exceeds %s ms", F.col("p99_ms").cast("string"),
-                                       F.lit(str(max_p99_ms)))))
-    if min_reduction_percent is not None:
-        checks.append((F.col("reduction_percent").isNull() | (F.col("reduction_percent") < F.lit(min_reduction_percent)),
-                       F.format_string("duplicate reduction %s%% is below %s%%",
-                                       F.col("reduction_percent").cast("string"), F.lit(str(min_reduction_percent)))))
-    checks += [
-        (F.col("impure_tracks") > 0, F.format_string("%d tracks mix ground-truth objects", F.col("impure_tracks"))),
-        (F.col("missing_truths") > 0, F.format_string("%d ground-truth objects are missing", F.col("missing_truths"))),
-    ]
+    below, above = (lambda v, x: v < x), (lambda v, x: v > x)
+    checks = [("receiver_errors", above, 0), ("impure_tracks", above, 0), ("missing_truths", above, 0)]
     if not allow_fragmentation:
-        checks.append((F.col("fragmented_truths") > 0,
-                       F.format_string("%d ground-truth objects are fragmented", F.col("fragmented_truths"))))
-    checks.append((F.col("receiver_errors") > 0, F.lit("WebSocket receiver reported errors")))
-    failures = F.array_compact(F.array(*[F.when(c, m) for c, m in checks]))
+        checks.append(("fragmented_truths", above, 0))
+    checks.append(("delivery_ratio", below, min_delivery_ratio))
+    if min_reduction_percent is not None:
+        checks.append(("reduction_percent", below, min_reduction_percent))
+    if max_p99_ms is not None:
+        checks.append(("p99_ms", above, max_p99_ms))
+    found = []
+    for name, out, limit in checks:
+        value = F.col(name).cast("double")
+        found.append(F.when(value.isNull() | out(value, F.lit(float(limit))), F.struct(
+            F.lit(name).alias("check"), value.alias("value"), F.lit(float(limit)).alias("limit"))))
+    failures = F.array_compact(F.array(*found))
     return report.withColumn("failures", failures).withColumn("passed", F.size("failures") == 0)

@@ -14,39 +14,14 @@ from sensortracks.schema import INITIAL_VELOCITY_VARIANCE, MIN_VARIANCE
 _STATE = ["east_m", "north_m", "ve_mps", "vn_mps", "p", "pv", "v"]
 
 
-def filter_sequence(t_us: np.ndarray, e: np.ndarray, n: np.ndarray, sigma: np.ndarray,
-                    ve0: float, vn0: float, accel_sigma: float) -> np.ndarray:
-    """States (rows: east, north, ve, vn, p, pv, v) after each measurement, in time order."""
-    q = accel_sigma * accel_sigma
-    k = len(t_us)
-    out = np.empty((k, 7))
-    se, sn, sve, svn = e[0], n[0], ve0, vn0
-    p, pv, v = sigma[0] ** 2, 0.0, INITIAL_VELOCITY_VARIANCE
-    out[0] = (se, sn, sve, svn, p, pv, v)
-    for i in range(1, k):
-        dt = (t_us[i] - t_us[i - 1]) / 1e6
-        if dt > 0:
-            dt2 = dt * dt
-            se, sn = se + sve * dt, sn + svn * dt
-            p, pv, v = (p + dt * pv * 2 + dt2 * v + q * dt2 * dt2 / 4,
-                        pv + dt * v + q * dt2 * dt / 2, v + q * dt2)
-        s = p + sigma[i] ** 2
-        kp, kv = p / s, pv / s
-        re, rn = e[i] - se, n[i] - sn
-        se, sn, sve, svn = se + kp * re, sn + kp * rn, sve + kv * re, svn + kv * rn
-        p, pv, v = max(p - kp * p, MIN_VARIANCE), pv - kp * pv, max(v - kv * pv, MIN_VARIANCE)
-        out[i] = (se, sn, sve, svn, p, pv, v)
-    return out
-
-
 def kalman_filter(df: DataFrame, key: list[str] | str, time_col: str = "observed_at",
                   accel_sigma: float = 2.0, origin=(43.65, -79.38, 0.0),
                   order_cols: list[str] | None = None) -> DataFrame:
     """Filter each key's measurements in time order; one state row per measurement.
 
     The start state is the first measurement, with velocity from speed and
-    heading (zero unless both are known).  Each key is one ``applyInPandas``
-    group; keys are independent, so this scales with the number of keys.
+    heading (zero unless both are known).  Keys are independent, so this scales
+    with the number of keys; only the current key's state is held.
     ``order_cols`` break ties between equal times (default: received_at).
     """
     keys = [key] if isinstance(key, str) else list(key)

@@ -19,23 +19,23 @@ def _blank(c: Column) -> Column:
 
 
 def rejection_reasons(df: DataFrame) -> Column:
-    """Array of broken rules (empty when the row is a valid detection)."""
+    """Array of the codes of broken rules (empty when the row is a valid detection)."""
     lat, lon = F.col("lat_deg"), F.col("lon_deg")
     alt, spd, hdg, sig = (F.col(c) for c in ("alt_m", "speed_mps", "heading_deg", "sigma_m"))
     attrs = F.col("attributes")
     rules = [
-        (_blank(F.col("source_id")), "sourceId is required"),
-        (_blank(F.col("source_type")), "sourceType is required"),
-        (F.col("observed_at").isNull(), "observedAt is required"),
-        (F.col("received_at").isNull(), "receivedAt is required"),
-        (~(finite(lat) & (lat >= -90) & (lat <= 90)), "invalid latitude"),
-        (~(finite(lon) & (lon >= -180) & (lon <= 180)), "invalid longitude"),
-        (alt.isNotNull() & ~finite(alt), "invalid altitude"),
-        (spd.isNotNull() & ~(finite(spd) & (spd >= 0)), "invalid speed"),
-        (hdg.isNotNull() & ~(finite(hdg) & (hdg >= 0) & (hdg < 360)), "invalid heading"),
-        (~(finite(sig) & (sig > 0)), "invalid position uncertainty"),
+        (_blank(F.col("source_id")), "source_id_blank"),
+        (_blank(F.col("source_type")), "source_type_blank"),
+        (F.col("observed_at").isNull(), "observed_at_null"),
+        (F.col("received_at").isNull(), "received_at_null"),
+        (~(finite(lat) & (lat >= -90) & (lat <= 90)), "lat_outside"),
+        (~(finite(lon) & (lon >= -180) & (lon <= 180)), "lon_outside"),
+        (alt.isNotNull() & ~finite(alt), "alt_not_finite"),
+        (spd.isNotNull() & ~(finite(spd) & (spd >= 0)), "speed_not_positive"),
+        (hdg.isNotNull() & ~(finite(hdg) & (hdg >= 0) & (hdg < 360)), "heading_outside"),
+        (~(finite(sig) & (sig > 0)), "sigma_not_positive"),
         (attrs.isNotNull() & F.exists(F.map_values(attrs), lambda v: v.isNull()),
-         "attributes cannot contain nulls"),
+         "attribute_null"),
     ]
     return F.array_compact(F.array(*[F.when(cond, F.lit(msg)) for cond, msg in rules]))
 

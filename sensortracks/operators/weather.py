@@ -78,15 +78,14 @@ def enrich_weather(detections: DataFrame, weather: DataFrame, ttl, grid_deg: flo
     return j.withColumn("attributes", merged).select(*detections.columns)
 
 
-def plan_weather_lookups(detections: DataFrame, ttl, grid_deg: float, at: str = "received_at",
-                         max_rounds: int = 64) -> DataFrame:
+def plan_weather_lookups(detections: DataFrame, ttl, grid_deg: float, at: str = "received_at") -> DataFrame:
     """The requests that trigger a fetch, one per cell per TTL counted from the fetch.
 
     Per cell the first request fetches; the next fetch is the first request at or
     after fetch + ttl, and so on.  ``next`` pointers (first request >= t + ttl)
     come from one forward-looking window per cell; the chain from each cell's
     first request is then expanded by pointer doubling (O(log n) joins), so no
-    cell's requests are ever gathered in one place.  Returns cell_lat, cell_lon,
+    cell's chain is ever gathered in one place.  Returns cell_lat, cell_lon,
     fetch_at, plus the number of requests the fetch serves.
     """
     ttl_us = interval_us(ttl)
@@ -108,7 +107,7 @@ def plan_weather_lookups(detections: DataFrame, ttl, grid_deg: float, at: str =
     heads = times.groupBy(*key).agg(F.min("t").alias("t"))
     chain = heads.checkpoint(eager=True)
     jump = nxt  # jump by 2^k
-    for _ in range(max_rounds):
+    while True:  # the chain is finite and doubles its reach each round
         step = chain.join(jump, [*key, "t"]).select(*key, F.col("nxt").alias("t")).filter(F.col("t").isNotNull())
         new_chain = chain.unionByName(step).distinct().checkpoint(eager=True)
         grew = new_chain.count() > chain.count()

@@ -114,26 +114,43 @@ def q_ais(spark, sf_dir):
                       F.col("attributes")["mmsi"].alias("mmsi"), F.col("attributes")["shipName"].alias("ship_name"))
 
 
-@register("decode_radar_frames")
+@register("decode_radar_frames", duck.with_det("""
+SELECT event_id,
+       CASE WHEN event_id % 23 = 0 THEN 'frame_missing' WHEN event_id % 13 = 0 THEN 'magic_unknown'
+            WHEN event_id % 17 = 0 THEN 'version_unknown' WHEN event_id % 19 = 0 THEN 'length_mismatch'
+            WHEN event_id % 11 = 0 THEN 'source_foreign' WHEN event_id % 29 = 0 THEN 'target_missing'
+            WHEN event_id % 31 = 0 THEN 'lat_outside,sigma_not_positive' END AS reason,
+       CASE WHEN ok THEN (epoch_us(observed_at) // 1000) * 1000 END AS observed_us,
+       CASE WHEN ok THEN lat_deg END AS lat_deg, CASE WHEN ok THEN lon_deg END AS lon_deg,
+       CASE WHEN ok THEN coalesce(alt_m, 0.0) END AS alt_m, CASE WHEN ok THEN speed_mps END AS speed_mps,
+       CASE WHEN ok THEN coalesce(heading_deg, 0.0) END AS heading_deg, CASE WHEN ok THEN sigma_m END AS sigma_m,
+       CASE WHEN ok THEN 'target-' || user_id::VARCHAR END AS ground_truth_id
+FROM (SELECT *, NOT (event_id % 23 = 0 OR event_id % 13 = 0 OR event_id % 17 = 0 OR event_id % 19 = 0
+                     OR event_id % 11 = 0 OR event_id % 29 = 0 OR event_id % 31 = 0) AS ok FROM det)"""))
 def q_radar(spark, sf_dir):
     d = events_as_detections(spark, sf_dir, keep_event_columns=True)
     eid = F.col("event_id")
     src = F.when(eid % 11 == 0, F.lit("radar-west")).otherwise(F.lit("radar-east"))
     frames = encode_frames(d.select(
         "event_id", "received_at", src.alias("source_id"),
-        F.concat(F.lit("target-"), F.col("user_id").cast("string")).alias("ground_truth_id"),
+        F.when(eid % 29 == 0, F.lit("  ")).otherwise(
+            F.concat(F.lit("target-"), F.col("user_id").cast("string"))).alias("ground_truth_id"),
         F.floor(F.unix_micros("observed_at") / 1000).cast("long").alias("observed_ms"),
-        "lat_deg", "lon_deg", F.coalesce("alt_m", F.lit(0.0)).alias("alt_m"),
-        "speed_mps", F.coalesce("heading_deg", F.lit(0.0)).alias("heading_deg"), "sigma_m"))
-    # corrupt some frames: flipped magic, wrong version, truncated
+        F.when(eid % 31 == 0, F.lit(143.0)).otherwise(F.col("lat_deg")).alias("lat_deg"),
+        "lon_deg", F.coalesce("alt_m", F.lit(0.0)).alias("alt_m"),
+        "speed_mps", F.coalesce("heading_deg", F.lit(0.0)).alias("heading_deg"),
+        F.when(eid % 31 == 0, F.lit(0.0)).otherwise(F.col("sigma_m")).alias("sigma_m")))
+    # lost and corrupted frames: no payload, flipped magic, wrong version, truncated
     p = F.col("payload")
-    bad = (F.when(eid % 13 == 0, F.concat(F.unhex(F.lit("00")), F.substring(p, 2, 1 << 20)))
+    bad = (F.when(eid % 23 == 0, F.lit(None).cast("binary"))
+           .when(eid % 13 == 0, F.concat(F.unhex(F.lit("00")), F.substring(p, 2, 1 << 20)))
            .when(eid % 17 == 0, F.concat(F.substring(p, 1, 4), F.unhex(F.lit("02")), F.substring(p, 6, 1 << 20)))
            .when(eid % 19 == 0, F.substring(p, 1, 40)).otherwise(p))
     frames = frames.withColumn("payload", bad).select("event_id", "payload", "received_at")
-    det, _ = decode_radar_frames(frames, "radar-east")
-    return det.select("event_id", us("observed_at").alias("observed_ms"), "lat_deg", "lon_deg", "alt_m",
-                      F.col("attributes")["groundTruthId"].alias("ground_truth_id"))
+    det, rejected = decode_radar_frames(frames, "radar-east")
+    out = det.select("event_id", us("observed_at").alias("observed_us"), "lat_deg", "lon_deg", "alt_m", "speed_mps",
+                     "heading_deg", "sigma_m", F.col("attributes")["groundTruthId"].alias("ground_truth_id"))
+    return out.unionByName(rejected.select("event_id", "reason"), allowMissingColumns=True)
 
 
 @register("read_replay_csv", duck.with_det("""
@@ -145,14 +162,13 @@ FROM det"""))
 def q_replay_csv(spark, sf_dir):
     d = events_as_detections(spark, sf_dir, keep_event_columns=True)
     path = f"{checkpoint_dir(spark).rstrip('/')}/replay-{uuid.uuid4().hex}"
-    lines = d.select(F.concat_ws(
-        ",", F.date_format("observed_at", "yyyy-MM-dd'T'HH:mm:ss'Z'"),
-        F.round("lat_deg", 6).cast("string"), F.round("lon_deg", 6).cast("string"),
-        F.coalesce("alt_m", F.lit(0.0)).cast("string"), F.col("speed_mps").cast("string"),
-        F.coalesce("heading_deg", F.lit(0.0)).cast("string"), F.lower(F.hex("user_id"))).alias("value"))
-    header = d.sparkSession.createDataFrame([("observedAt,latDeg,lonDeg,altMeters,speedMps,headingDeg,icao24",)],
-                                            "value string")
-    header.unionByName(lines).coalesce(1).write.text(path)
+    # every part file starts with the header
+    d.select(
+        F.date_format("observed_at", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("observedAt"),
+        F.round("lat_deg", 6).alias("latDeg"), F.round("lon_deg", 6).alias("lonDeg"),
+        F.coalesce("alt_m", F.lit(0.0)).alias("altMeters"), F.col("speed_mps").alias("speedMps"),
+        F.coalesce("heading_deg", F.lit(0.0)).alias("headingDeg"),
+        F.lower(F.hex("user_id")).alias("icao24")).write.option("header", True).csv(path)
     det = read_replay_csv(spark, path)
     return det.select("source_id", us("observed_at").alias("observed_us"), r("lat_deg", 6).alias("lat_deg"),
                       r("lon_deg", 6).alias("lon_deg"), "alt_m", "speed_mps", "heading_deg",

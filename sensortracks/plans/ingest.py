@@ -45,16 +45,16 @@ def raw_event_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _RULES_SQL = [
-  ("source_id IS NULL OR NOT regexp_matches(source_id, '\\S')", 'sourceId is required'),
-  ("source_type IS NULL OR NOT regexp_matches(source_type, '\\S')", 'sourceType is required'),
-  ("observed_at IS NULL", 'observedAt is required'),
-  ("received_at IS NULL", 'receivedAt is required'),
-  ("NOT (lat_deg >= -90 AND lat_deg <= 90)", 'invalid latitude'),
-  ("NOT (lon_deg >= -180 AND lon_deg <= 180)", 'invalid longitude'),
-  ("alt_m IS NOT NULL AND isnan(alt_m)", 'invalid altitude'),
-  ("speed_mps IS NOT NULL AND NOT (speed_mps >= 0)", 'invalid speed'),
-  ("heading_deg IS NOT NULL AND NOT (heading_deg >= 0 AND heading_deg < 360)", 'invalid heading'),
-  ("NOT (sigma_m > 0)", 'invalid position uncertainty'),
+  ("source_id IS NULL OR NOT regexp_matches(source_id, '\\S')", 'source_id_blank'),
+  ("source_type IS NULL OR NOT regexp_matches(source_type, '\\S')", 'source_type_blank'),
+  ("observed_at IS NULL", 'observed_at_null'),
+  ("received_at IS NULL", 'received_at_null'),
+  ("NOT (lat_deg >= -90 AND lat_deg <= 90)", 'lat_outside'),
+  ("NOT (lon_deg >= -180 AND lon_deg <= 180)", 'lon_outside'),
+  ("alt_m IS NOT NULL AND isnan(alt_m)", 'alt_not_finite'),
+  ("speed_mps IS NOT NULL AND NOT (speed_mps >= 0)", 'speed_not_positive'),
+  ("heading_deg IS NOT NULL AND NOT (heading_deg >= 0 AND heading_deg < 360)", 'heading_outside'),
+  ("NOT (sigma_m > 0)", 'sigma_not_positive'),
 ]
 _RAW_SQL = """raw AS (
   SELECT event_id,

@@ -314,16 +314,15 @@ def q_delivery(spark, sf_dir):
 
 
 @register("acceptance", duck.with_det("""
-SELECT passed, failures FROM (
-  SELECT len(f) = 0 AS passed, array_to_string(f, '|') AS failures FROM (
-    SELECT list_filter([
-      CASE WHEN delivery_ratio < 0.9 THEN printf('delivery ratio %.4f is below %.4f', delivery_ratio, 0.9) END,
-      CASE WHEN impure_tracks > 0 THEN printf('%d tracks mix ground-truth objects', impure_tracks) END,
-      CASE WHEN missing_truths > 0 THEN printf('%d ground-truth objects are missing', missing_truths) END,
-      CASE WHEN fragmented_truths > 0 THEN printf('%d ground-truth objects are fragmented', fragmented_truths) END
-    ], lambda x: x IS NOT NULL) AS f
-    FROM (SELECT round((SELECT count(*) FROM credited) / (SELECT count(*) FROM det), 4) AS delivery_ratio, integ.*
-          FROM integ)))""", _DUCK_CREDIT + ",\n" + _DUCK_TRUTH))
+SELECT len(f) = 0 AS passed, array_to_string(f, ',') AS failed_checks, delivery_ratio,
+       impure_tracks, missing_truths, fragmented_truths
+FROM (SELECT *, list_filter([
+        CASE WHEN impure_tracks > 0 THEN 'impure_tracks' END,
+        CASE WHEN missing_truths > 0 THEN 'missing_truths' END,
+        CASE WHEN fragmented_truths > 0 THEN 'fragmented_truths' END,
+        CASE WHEN delivery_ratio < 0.9 THEN 'delivery_ratio' END], lambda x: x IS NOT NULL) AS f
+      FROM (SELECT round((SELECT count(*) FROM credited) / (SELECT count(*) FROM det), 4) AS delivery_ratio, integ.*
+            FROM integ))""", _DUCK_CREDIT + ",\n" + _DUCK_TRUTH))
 def q_acceptance(spark, sf_dir):
     d, c = _credited(spark, sf_dir)
     _, pairs, truths = _truth_inputs(spark, sf_dir)
@@ -334,4 +333,5 @@ def q_acceptance(spark, sf_dir):
               .withColumn("fragmented_truths", integ.select("fragmented_truths").scalar())
               .withColumn("receiver_errors", F.lit(0)))
     out = evaluate.acceptance(report, min_delivery_ratio=0.9)
-    return out.select("passed", F.array_join("failures", "|").alias("failures"))
+    return out.select("passed", F.array_join("failures.check", ",").alias("failed_checks"), "delivery_ratio",
+                      "impure_tracks", "missing_truths", "fragmented_truths")

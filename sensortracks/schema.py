@@ -42,7 +42,6 @@ TRACK_HISTORY_FIELDS = [
     T.StructField("consecutive_misses", T.IntegerType(), False),
     T.StructField("contributors", T.ArrayType(DETECTION_SCHEMA), False),
 ]
-TRACK_HISTORY_SCHEMA = T.StructType(TRACK_HISTORY_FIELDS)
 
 # --- fixed values (must equal the reference's for equal results) ---------
 # Track statuses.

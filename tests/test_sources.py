@@ -1,4 +1,4 @@
-"""Feeds, formats, geo and validation against the reference's published cases."""
+"""Feeds, formats, geo and validation on small inputs with known results."""
 
 import datetime as dt
 import json
@@ -11,7 +11,7 @@ from sensortracks.operators.validate import validate_detections
 from sensortracks.operators.weather import enrich_weather, parse_weather
 from sensortracks.schema import RAW_DETECTION_SCHEMA
 from sensortracks.sources.feeds import read_adsb_states, read_ais_reports
-from sensortracks.sources.formats import decode_frame, decode_radar_frames, encode_frame, read_replay_csv
+from sensortracks.sources.formats import decode_radar_frames, encode_frame, read_replay_csv
 
 T0 = dt.datetime(2026, 1, 2, 3, 4, 5, tzinfo=dt.timezone.utc)
 
@@ -52,9 +52,9 @@ def test_validation_rules(spark):
     valid, rejected = validate_detections(df)
     assert valid.count() == 1
     reasons = sorted(r["reasons"][0] for r in rejected.collect())
-    assert reasons == sorted(["invalid latitude", "invalid longitude", "invalid position uncertainty",
-                              "sourceId is required", "observedAt is required", "invalid speed",
-                              "invalid heading"])
+    assert reasons == sorted(["lat_outside", "lon_outside", "sigma_not_positive",
+                              "source_id_blank", "observed_at_null", "speed_not_positive",
+                              "heading_outside"])
 
 
 def test_adsb_states(spark):
@@ -92,19 +92,25 @@ def test_ais_reports(spark):
 
 
 def test_radar_frames(spark):
-    f = encode_frame("radar-east", "target-42", 1767323045000, 43.6532, -79.3832, 1250.0, 95.4, 271.5, 18.0)
-    d = decode_frame(f)
-    assert d["error"] is None and d["ground_truth_id"] == "target-42" and d["heading_deg"] == 271.5
-    flipped = bytes([f[0] ^ 0xFF]) + f[1:]
-    version = f[:4] + bytes([2]) + f[5:]
-    assert decode_frame(flipped)["error"] and decode_frame(version)["error"]
-    assert decode_frame(f[:20])["error"] and decode_frame(f + b"\x00")["error"]
-    raw = spark.createDataFrame([(bytearray(x), T0) for x in (f, flipped, version, f[:20], f + b"\x00")],
-                                "payload binary, received_at timestamp")
-    det, rej = decode_radar_frames(raw, "radar-east")
-    assert det.count() == 1 and rej.count() == 4
-    other = decode_radar_frames(raw, "radar-west")[0]
-    assert other.count() == 0
+    at = int(T0.timestamp() * 1000)
+    good = encode_frame("north-3", "boat-é", at, -12.5, 130.25, 40.0, 7.75, 359.5, 3.0)
+    frames = {
+        None: good, "frame_missing": None, "frame_truncated": good[:5], "magic_unknown": b"\x00" + good[1:],
+        "version_unknown": good[:4] + b"\x09" + good[5:], "length_mismatch": good + b"\x00",
+        "text_not_utf8": good.replace("é".encode(), b"\xff\xfe"),
+        "source_foreign": encode_frame("south-1", "boat", at, 0, 0, 0, 0, 0, 1),
+        "target_missing": encode_frame("north-3", " ", at, 0, 0, 0, 0, 0, 1),
+        "lat_outside,speed_not_positive": encode_frame("north-3", "boat", at, 143, 0, 0, -5, 0, 1)}
+    raw = spark.createDataFrame([(r, None if f is None else bytearray(f), T0) for r, f in frames.items()],
+                                "want string, payload binary, received_at timestamp")
+    det, rejected = decode_radar_frames(raw, "north-3")
+    rows = det.collect()
+    assert len(rows) == 1 and rejected.count() == len(frames) - 1
+    assert all(r["want"] == r["reason"] for r in rejected.collect())
+    r = rows[0]
+    assert (r["lat_deg"], r["lon_deg"], r["alt_m"], r["speed_mps"], r["heading_deg"], r["sigma_m"]) == (
+        -12.5, 130.25, 40.0, 7.75, 359.5, 3.0)
+    assert r["attributes"] == {"groundTruthId": "boat-é"} and r["observed_at"] == T0.replace(tzinfo=None)
 
 
 def test_replay_csv(spark, tmp_path):

@@ -179,21 +179,39 @@ def test_stream_survives_restart(spark):
     assert _key(got.filter(F.col("state_at") < last)) == _key(batch.filter(F.col("state_at") < last))
 
 
-def test_assignment_component_split_equals_whole_groups(spark):
-    """Forcing every group through the Spark component split gives the same matching."""
+def test_assignment_equals_whole_groups(spark):
+    """Splitting into components gives the matching that solving each tick whole gives."""
+    import numpy as np
+
+    from sensortracks.operators.assignment import solve_assignment
     from sensortracks.operators.associate import assign_pairs, gate_pairs
     from sensortracks.plans.tracking import gate_inputs
 
     tracks, dets = gate_inputs(spark, SF_SMALL)
     pairs = gate_pairs(tracks, dets, 9.21).cache()
-    whole = assign_pairs(pairs, ("tick_us",), 9.21)
-    split = assign_pairs(pairs, ("tick_us",), 9.21, max_group_pairs=0)
-
-    def summary(df):
-        return sorted((r["tick_us"], r["n"], round(r["c"], 9)) for r in
-                      df.groupBy("tick_us").agg(F.count("*").alias("n"), F.sum("cost").alias("c")).collect())
-
-    assert summary(whole) == summary(split) and len(summary(whole)) > 0
-    for df in (whole, split):
-        assert df.groupBy("tick_us", "track_id").count().filter("count > 1").count() == 0
-        assert df.groupBy("tick_us", "det_id").count().filter("count > 1").count() == 0
+    got = assign_pairs(pairs, ("tick_us",), 9.21).toPandas()
+    want = []
+    for tick, own in pairs.toPandas().groupby("tick_us"):
+        m = own.pivot(index="track_id", columns="det_id", values="cost").fillna(np.inf).to_numpy()
+        a = solve_assignment(m, 9.21)
+        cost = sum(m[i, j] for i, j in enumerate(a) if j >= 0)
+        want.append((tick, int((a >= 0).sum()), round(float(cost), 6)))
+    have = got.groupby("tick_us")["cost"].agg(["count", "sum"]).reset_index()
+    assert sorted(want) == sorted((t, int(n), round(float(c), 6)) for t, n, c in have.itertuples(index=False))
+    assert not got.duplicated(["tick_us", "track_id"]).any() and not got.duplicated(["tick_us", "det_id"]).any()
+
+
+def test_components_of_long_paths(spark):
+    """A path of 1,000 nodes in random order, and one of 150, are one component each."""
+    import random
+
+    from sensortracks.operators.graph import connected_components
+
+    nodes = list(range(1151))
+    random.Random(2).shuffle(nodes)
+    edges = [(nodes[i], nodes[i + 1]) for i in range(1150) if i != 999]
+    got = {r["node"]: r["label"] for r in connected_components(
+        spark.createDataFrame(edges, "src long, dst long")).collect()}
+    assert {got[x] for x in nodes[:1000]} == {min(nodes[:1000])}
+    assert {got[x] for x in nodes[1000:]} == {min(nodes[1000:])}
+    assert connected_components(spark.createDataFrame([], "src long, dst long")).count() == 0
