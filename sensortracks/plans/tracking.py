@@ -14,11 +14,12 @@ from sensortracks.operators.lifecycle import track_lifecycle
 from sensortracks.operators.motion import kalman_filter
 from sensortracks.operators.regions import build_tracks_by_region, split_regions
 from sensortracks.operators.ticks import assign_tick, coalesce_detections
-from sensortracks.operators.tracker import build_tracks, replay_tracks
+from sensortracks.operators.tracker import ONE_REGION, build_tracks, replay_tracks
 from sensortracks.plans import duck
 from sensortracks.plans.registry import r, register, us
-from sensortracks.schema import FusionConfig
-from sensortracks.sources.testdata import ORIGIN, events_as_detections
+from sensortracks.schema import INITIAL_VELOCITY_VARIANCE, FusionConfig
+from sensortracks.sources.testdata import (
+    DUCK_FLEET, FLEET_STEP_US, ORIGIN, events_as_detections, events_as_fleet)
 
 TRACK_TICK = "6 hours"
 TRACK_TICK_US = 6 * 3600 * 1_000_000
@@ -158,38 +159,116 @@ def q_lifecycle(spark, sf_dir):
     return out.select("track_id", "tick_us", "status", "hit_count", "consecutive_misses")
 
 
-def _track_rows(t: DataFrame) -> DataFrame:
+def _track_rows(t: DataFrame, metres: int = 3, speeds: int = 4) -> DataFrame:
     return t.select(
         "track_id", "status", us("state_at").alias("state_us"), us("last_observed_at").alias("last_observed_us"),
-        r("east_m").alias("east_m"), r("north_m").alias("north_m"), r("ve_mps", 4).alias("ve_mps"),
-        r("vn_mps", 4).alias("vn_mps"), F.col("hit_count").cast("long").alias("hit_count"),
+        r("east_m", metres).alias("east_m"), r("north_m", metres).alias("north_m"),
+        r("ve_mps", speeds).alias("ve_mps"), r("vn_mps", speeds).alias("vn_mps"), F.col("hit_count").cast("long").alias("hit_count"),
         F.col("consecutive_misses").cast("long").alias("consecutive_misses"),
         F.array_join(F.transform("contributors", lambda c: F.concat_ws(":", c["source_type"], c["source_id"])),
                      "|").alias("contributors"))
 
 
-@register("build_tracks")
+def _fleet_sql(tick: str, where: str) -> str:
+    """Tracks of the fleet mapping: as vehicles never meet, a user is one track at a time.
+
+    The recursion walks a user's ticks (its own and the next ``horizon`` global ones)
+    with filter and lifecycle state; after a drop the next report starts a new life.
+    """
+    cfg = FusionConfig()
+    H, W, D, q = cfg.confirmation_hits, cfg.confirmation_window, cfg.drop_after_misses, cfg.accel_sigma ** 2
+    dead = "k.status IN ('DROPPED', 'GONE')"
+    nh = f"(((k.hist << 1) | r.h) & {(1 << W) - 1})"
+    status = f"""CASE WHEN {dead} THEN CASE WHEN r.h = 1 THEN 'TENTATIVE' ELSE 'GONE' END
+      WHEN r.h = 1 THEN
+        CASE WHEN k.status = 'COASTING' OR (k.status = 'TENTATIVE' AND bit_count({nh}) >= {H}) THEN 'CONFIRMED' ELSE k.status END
+      WHEN k.status = 'TENTATIVE' THEN
+        CASE WHEN least(k.hlen + 1, {W}) = {W} AND bit_count({nh}) < {H} THEN 'DROPPED' ELSE 'TENTATIVE' END
+      WHEN k.misses + 1 >= {D} THEN 'DROPPED' ELSE 'COASTING' END"""
+    dt = "((r.tick_us - k.tick_us) / 1000000.0)"
+    pp = f"(k.p + {dt} * k.pv * 2 + {dt} * {dt} * k.v + {q} * {dt} * {dt} * {dt} * {dt} / 4)"
+    ppv = f"(k.pv + {dt} * k.v + {q} * {dt} * {dt} * {dt} / 2)"
+    pvv = f"(k.v + {q} * {dt} * {dt})"
+    pe, pn = f"(k.se + k.sve * {dt})", f"(k.sn + k.svn * {dt})"
+    s_ = f"({pp} + r.sigma_m * r.sigma_m)"
+    kp, kv = f"({pp} / {s_})", f"({ppv} / {s_})"
+
+    def state(born: str, hit: str, miss: str) -> str:
+        return f"CASE WHEN {dead} THEN {born} WHEN r.h = 1 THEN {hit} ELSE {miss} END"
+
+    return f"""WITH RECURSIVE {DUCK_FLEET},
+fl AS (SELECT *, epoch_us(observed_at) AS obs, {_E} AS e, {_N} AS n,
+              speed_mps * sin(radians(heading_deg)) AS ve0, speed_mps * cos(radians(heading_deg)) AS vn0
+       FROM (SELECT *, row_number() OVER (PARTITION BY tick_us, user_id ORDER BY {duck.CANONICAL_DESC}) AS rn
+             FROM (SELECT *, {tick} AS tick_us FROM fleet)) WHERE rn = 1),
+gt AS (SELECT tick_us, row_number() OVER (ORDER BY tick_us) AS ord FROM (SELECT DISTINCT tick_us FROM fl)),
+cand AS (SELECT DISTINCT f.user_id, g2.tick_us FROM fl f JOIN gt g ON g.tick_us = f.tick_us
+         JOIN gt g2 ON g2.ord BETWEEN g.ord AND g.ord + {cfg.horizon}),
+rows AS (SELECT c.user_id, c.tick_us, f.obs, f.lat_deg, f.lon_deg, f.e, f.n, f.ve0, f.vn0, f.sigma_m,
+                CASE WHEN f.user_id IS NULL THEN 0 ELSE 1 END AS h,
+                row_number() OVER (PARTITION BY c.user_id ORDER BY c.tick_us) AS i
+         FROM cand c LEFT JOIN fl f ON f.user_id = c.user_id AND f.tick_us = c.tick_us),
+tr AS (
+  SELECT user_id, i, tick_us, 1 AS life, 'TENTATIVE' AS status, 1::BIGINT AS hist, 1 AS hlen, 1 AS hits, 0 AS misses,
+         obs AS last_obs, e AS se, n AS sn, ve0 AS sve, vn0 AS svn, sigma_m * sigma_m AS p, 0.0::DOUBLE AS pv,
+         {INITIAL_VELOCITY_VARIANCE}::DOUBLE AS v, lat_deg, lon_deg, tick_us AS born
+  FROM rows WHERE i = 1
+  UNION ALL
+  SELECT r.user_id, r.i, r.tick_us, k.life + CASE WHEN {dead} AND r.h = 1 THEN 1 ELSE 0 END, {status},
+         {state('1', nh, nh)}, {state('1', f'least(k.hlen + 1, {W})', f'least(k.hlen + 1, {W})')},
+         {state('1', 'k.hits + 1', 'k.hits')}, {state('0', '0', 'k.misses + 1')},
+         {state('r.obs', 'greatest(k.last_obs, r.obs)', 'k.last_obs')},
+         {state('r.e', f'{pe} + {kp} * (r.e - {pe})', pe)}, {state('r.n', f'{pn} + {kp} * (r.n - {pn})', pn)},
+         {state('r.ve0', f'k.sve + {kv} * (r.e - {pe})', 'k.sve')}, {state('r.vn0', f'k.svn + {kv} * (r.n - {pn})', 'k.svn')},
+         {state('r.sigma_m * r.sigma_m', f'greatest({pp} - {kp} * {pp}, 1e-9)', pp)},
+         {state('0.0', f'{ppv} - {kp} * {ppv}', ppv)},
+         {state(f'{INITIAL_VELOCITY_VARIANCE}', f'greatest({pvv} - {kv} * {ppv}, 1e-9)', pvv)},
+         {state('r.lat_deg', 'k.lat_deg', 'k.lat_deg')}, {state('r.lon_deg', 'k.lon_deg', 'k.lon_deg')},
+         {state('r.tick_us', 'k.born', 'k.born')}
+  FROM tr k JOIN rows r ON r.user_id = k.user_id AND r.i = k.i + 1),
+born AS (SELECT user_id, life, row_number() OVER (ORDER BY born, lat_deg, lon_deg) AS track_id
+         FROM (SELECT DISTINCT user_id, life, born, lat_deg, lon_deg FROM tr WHERE status <> 'GONE'))
+SELECT b.track_id, t.status, t.tick_us AS state_us, t.last_obs AS last_observed_us,
+       {duck.rnd('t.se', 2)} AS east_m, {duck.rnd('t.sn', 2)} AS north_m, {duck.rnd('t.sve', 3)} AS ve_mps,
+       {duck.rnd('t.svn', 3)} AS vn_mps, t.hits::BIGINT AS hit_count, t.misses::BIGINT AS consecutive_misses,
+       'fleet:fleet-feed' AS contributors
+FROM tr t JOIN born b ON b.user_id = t.user_id AND b.life = t.life
+WHERE t.status <> 'GONE' AND {where}"""
+
+
+def _fleet_rows(t: DataFrame) -> DataFrame:
+    return _track_rows(t, 2, 3)
+
+
+_FLEET_TRACKS = _fleet_sql(duck.tick_us("observed_at", FLEET_STEP_US), "true")
+
+
+@register("build_tracks", _FLEET_TRACKS)
 def q_build_tracks(spark, sf_dir):
-    d = events_as_detections(spark, sf_dir)
-    return _track_rows(build_tracks(d, FLAGSHIP_TICK, ORIGIN))
+    return _fleet_rows(build_tracks(events_as_fleet(spark, sf_dir), "1 second", ORIGIN))
 
 
-@register("build_tracks_6h")
-def q_build_tracks_6h(spark, sf_dir):
-    d = events_as_detections(spark, sf_dir)
-    return _track_rows(build_tracks(d, TRACK_TICK, ORIGIN))
+@register("build_tracks_by_region", _FLEET_TRACKS)
+def q_build_tracks_region(spark, sf_dir):
+    return _fleet_rows(build_tracks_by_region(events_as_fleet(spark, sf_dir), "1 second", cell_m=3000.0, origin=ORIGIN))
 
 
-@register("build_tracks_by_region")
-def q_build_tracks_region(spark, sf_dir):
+@register("replay_tracks", _fleet_sql("epoch_us(observed_at)", """t.status <> 'DROPPED'
+  AND t.tick_us = (SELECT max(epoch_us(observed_at)) FROM fleet)"""))
+def q_replay(spark, sf_dir):
+    return _fleet_rows(replay_tracks(events_as_fleet(spark, sf_dir), ORIGIN))
+
+
+@register("build_tracks_1min")
+def q_build_tracks_1min(spark, sf_dir):
     d = events_as_detections(spark, sf_dir)
-    return _track_rows(build_tracks_by_region(d, FLAGSHIP_TICK, cell_m=3000.0, origin=ORIGIN))
+    return _track_rows(build_tracks(d, FLAGSHIP_TICK, ORIGIN, region=ONE_REGION))
 
 
-@register("replay_tracks")
-def q_replay(spark, sf_dir):
+@register("build_tracks_6h")
+def q_build_tracks_6h(spark, sf_dir):
     d = events_as_detections(spark, sf_dir)
-    return _track_rows(replay_tracks(d, ORIGIN))
+    return _track_rows(build_tracks(d, TRACK_TICK, ORIGIN, region=ONE_REGION))
 
 
 def birth_rows(spark, sf_dir) -> DataFrame:

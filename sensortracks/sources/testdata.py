@@ -106,6 +106,41 @@ def duck_detections_cte(name: str = "det") -> str:
     return f"{name} AS ({DUCK_DETECTIONS})"
 
 
+FLEET_STEP_US = 1_000_000
+
+
+def events_as_fleet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Detections of vehicles that keep to areas of their own, a hundred reports a second.
+
+      user u: an area of 0.5 x 0.75 degrees by (u % 40, u // 40 % 40); report e: second e // 100,
+      a quarter into it; place in the area by value, speed value % 5, other fields as above
+    """
+    configure(spark)
+    ev = read_table(spark, sf_dir, "events")
+    uid, eid, val = F.col("user_id"), F.col("event_id"), F.col("value")
+    observed = F.timestamp_micros(F.floor(eid / 100) * FLEET_STEP_US + 1_700_000_000_250_000)
+    return ev.select(
+        eid.alias("event_id"), uid.alias("user_id"), F.lit("fleet-feed").alias("source_id"),
+        F.lit("fleet").alias("source_type"), observed.alias("observed_at"),
+        F.timestamp_micros(F.unix_micros(observed) + (eid % 7) * 20000).alias("received_at"),
+        (F.lit(33.65) + (uid % 40).cast("double") * F.lit(0.5) + (val % 10) * F.lit(0.00001)).alias("lat_deg"),
+        (F.lit(-94.38) + (F.floor(uid / 40) % 40).cast("double") * F.lit(0.75) + (val % 7) * F.lit(0.00001)).alias("lon_deg"),
+        F.lit(None).cast("double").alias("alt_m"), (val % 5).alias("speed_mps"),
+        (eid % 360).cast("double").alias("heading_deg"), (F.lit(10.0) + (uid % 5).cast("double") * 10).alias("sigma_m"),
+        F.create_map(F.lit("icao24"), uid.cast("string")).alias("attributes")).select("event_id", *DETECTION_COLUMNS)
+
+
+DUCK_FLEET = """fleet AS (
+  SELECT event_id, user_id, 'fleet-feed' AS source_id, 'fleet' AS source_type,
+         make_timestamp((event_id // 100) * 1000000 + 1700000000250000) AS observed_at,
+         make_timestamp((event_id // 100) * 1000000 + 1700000000250000 + (event_id % 7) * 20000) AS received_at,
+         33.65::DOUBLE + (user_id % 40)::DOUBLE * 0.5::DOUBLE + (value % 10) * 0.00001::DOUBLE AS lat_deg,
+         -94.38::DOUBLE + ((user_id // 40) % 40)::DOUBLE * 0.75::DOUBLE + (value % 7) * 0.00001::DOUBLE AS lon_deg,
+         NULL::DOUBLE AS alt_m, value % 5 AS speed_mps, (event_id % 360)::DOUBLE AS heading_deg,
+         10.0::DOUBLE + (user_id % 5)::DOUBLE * 10 AS sigma_m, 0 AS attr_entries
+  FROM events)"""
+
+
 def events_as_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A track-history table derived from events (input of the track-table operators).
 
