@@ -10,9 +10,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from sensortracks.schema import SILENT_AFTER_SECONDS
 
+BLOCK = 1000.0  # width of a block of values when ranks are counted
+
 CLEARING_STAGES = ("adapter", "publish", "enrichment")
 # ok events that do not create a source entry on their own (a recovery)
 RECOVERY_ONLY = ("enrichment",)
@@ -63,16 +66,31 @@ def source_state(health: DataFrame, now) -> DataFrame:
 
 def nearest_rank(df: DataFrame, value: str, group: list[str] | None = None,
                  quantiles=(0.5, 0.95, 0.99)) -> DataFrame:
-    """nearest-rank percentiles (index ceil(q n) - 1 of the sorted values) and max.
+    """nearest-rank percentiles (the value at place ceil(q n)) and max, by counting.
 
-    ``percentile_disc`` is exactly nearest rank; it aggregates value counts per
-    group (map-side combined), so repeated values cost nothing extra.
+    Values are counted, the counts summed by blocks of ``BLOCK``; a running sum over
+    the blocks finds the block that holds each rank, and only that block's values
+    are looked at.  Nothing ever holds all values of a group.
     """
-    group = group or []
-    aggs = [F.expr(f"percentile_disc({q}) WITHIN GROUP (ORDER BY {value})").alias(
-        "p" + f"{q * 100:g}".replace(".", "_")) for q in quantiles]
-    aggs += [F.max(value).alias("max"), F.count(value).alias("samples")]
-    return df.groupBy(*group).agg(*aggs)
+    keys = group or ["_all"]
+    rows = df.filter(F.col(value).isNotNull())
+    rows = rows if group else rows.withColumn("_all", F.lit(0))
+    counts = rows.groupBy(*keys, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_n")).withColumn(
+        "_b", F.floor(F.col("_v") / BLOCK))
+    totals = counts.groupBy(*keys).agg(F.sum("_n").alias("samples"), F.max("_v").alias("max"))
+    before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = counts.groupBy(*keys, "_b").agg(F.sum("_n").alias("_bn")).withColumn(
+        "_before", F.coalesce(F.sum("_bn").over(before), F.lit(0)))
+    ranks = totals.select(*keys, F.explode(F.array(*[F.struct(
+        F.lit(q).alias("q"), F.greatest(F.lit(1), F.ceil(F.lit(q) * F.col("samples") - 1e-9)).alias("k"))
+        for q in quantiles])).alias("r")).select(*keys, "r.q", "r.k")
+    holds = ranks.join(blocks, keys).filter((F.col("_before") < F.col("k")) & (F.col("k") <= F.col("_before") + F.col("_bn")))
+    upto = Window.partitionBy(*keys, "q").orderBy("_v")
+    found = counts.join(holds.select(*keys, "_b", "q", "k", "_before"), [*keys, "_b"]).withColumn(
+        "_upto", F.col("_before") + F.sum("_n").over(upto)).filter(F.col("_upto") >= F.col("k"))
+    values = found.groupBy(*keys).agg(*[
+        F.min(F.when(F.col("q") == q, F.col("_v"))).alias("p" + f"{q * 100:g}".replace(".", "_")) for q in quantiles])
+    return values.join(totals, keys).select(*group if group else [], *values.columns[len(keys):], "max", "samples")
 
 
 def source_latency(stages: DataFrame, quantiles=(0.5, 0.95, 0.99)) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -10,6 +9,7 @@ from pyspark.sql.window import Window
 from sensortracks.functions import geo
 from sensortracks.functions.order import sort_structs
 from sensortracks.operators.common import running_max_before
+from sensortracks.session import checkpoint_dir
 
 HISTORY_COLUMNS = ["session_id", "track_id", "status", "state_at", "last_observed_at", "lat_deg", "lon_deg",
                    "alt_m", "ve_mps", "vn_mps", "hit_count", "consecutive_misses", "contributors"]
@@ -50,15 +50,15 @@ def read_history(spark, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def track_history(df: DataFrame, track_id: int) -> DataFrame:
-    """One track's rows by state_at, across sessions (pushed down as a filter)."""
-    return df.filter(F.col("track_id") == F.lit(track_id)).orderBy("state_at")
+def track_history(df: DataFrame, track_id: int | None = None) -> DataFrame:
+    """Rows by state_at across sessions, with their position ``seq`` in their track's history.
 
-
-def number_history(df: DataFrame) -> DataFrame:
-    """E3 for all tracks at once: each row's position in its track's history."""
+    One track's history if ``track_id`` is given (pushed down as a filter), else all.
+    """
+    if track_id is not None:
+        df = df.filter(F.col("track_id") == F.lit(track_id))
     w = Window.partitionBy("track_id").orderBy("state_at", "session_id")
-    return df.withColumn("seq", F.row_number().over(w))
+    return df.withColumn("seq", F.row_number().over(w).cast("long"))
 
 
 def current_tracks(df: DataFrame) -> DataFrame:
@@ -73,13 +73,23 @@ def current_tracks(df: DataFrame) -> DataFrame:
         .filter(F.col("status") != "DROPPED")
 
 
-def track_deltas(df: DataFrame) -> DataFrame:
-    """E5: one change event per (session, tick), version 1, 2, ... per session."""
-    per_tick = df.groupBy("session_id", "state_at").agg(sort_structs(
-        F.collect_list(F.struct(*[c for c in df.columns if c != "session_id"])), "track_id").alias("tracks"))
+def track_delta_rows(df: DataFrame) -> DataFrame:
+    """E5 as rows: every track row with the ``version`` of its (session, tick), 1, 2, ... per session.
+
+    Only the distinct ticks are numbered; track rows are joined to their number.
+    """
+    ticks = df.select("session_id", "state_at").distinct()
     w = Window.partitionBy("session_id").orderBy("state_at")
-    return per_tick.select("session_id", F.row_number().over(w).cast("long").alias("version"),
-                           F.lit(False).alias("snapshot"), "state_at", "tracks")
+    numbers = ticks.withColumn("version", F.row_number().over(w).cast("long"))
+    return df.join(numbers, ["session_id", "state_at"])
+
+
+def track_deltas(df: DataFrame) -> DataFrame:
+    """E5 for a sink: one change event per (session, tick) with its track rows nested."""
+    cols = [c for c in df.columns if c != "session_id"]
+    return track_delta_rows(df).groupBy("session_id", "version", "state_at").agg(sort_structs(
+        F.collect_list(F.struct(*cols)), "track_id").alias("tracks")).select(
+        "session_id", "version", F.lit(False).alias("snapshot"), "state_at", "tracks")
 
 
 def apply_track_events(events: DataFrame, seq: str = "seq") -> DataFrame:
@@ -93,14 +103,15 @@ def apply_track_events(events: DataFrame, seq: str = "seq") -> DataFrame:
     """
     # All decisions are made on the small per-event table (no track payloads);
     # payloads are joined back only for the events that survive.
-    events = events.persist(StorageLevel.MEMORY_AND_DISK)
-    meta = events.select("session_id", seq, "version", "snapshot").persist()
+    checkpoint_dir(events.sparkSession)
+    events = events.checkpoint(eager=True)
+    meta = events.select("session_id", seq, "version", "snapshot")
     last_session = meta.select(F.max_by("session_id", F.col(seq))).scalar()
     last_change = meta.filter(F.col("session_id") != last_session).select(F.max(seq)).scalar()
     run = meta.filter(F.col("session_id") == last_session).filter(
         last_change.isNull() | (F.col(seq) > last_change))
     run = running_max_before(run, seq, "version", "_maxv")
-    accepted = run.filter(F.col("_maxv").isNull() | (F.col("version") >= F.col("_maxv"))).persist()
+    accepted = run.filter(F.col("_maxv").isNull() | (F.col("version") >= F.col("_maxv")))
     snap = accepted.filter("snapshot").select(F.max(seq)).scalar()
     wanted = accepted.filter((F.col(seq) == snap) | (~F.col("snapshot") & (snap.isNull() | (F.col(seq) > snap))))
     payload = events.join(wanted.select(seq), seq, "left_semi")
@@ -126,7 +137,8 @@ def tracks_geojson(df: DataFrame) -> DataFrame:
                        F.struct(F.lit("Point").alias("type"),
                                 F.array("lon_deg", "lat_deg").alias("coordinates")).alias("geometry"),
                        props.alias("properties"))
-    return df.select("track_id", props.alias("properties"), F.to_json(feature).alias("feature"))
+    session = [c for c in ("session_id",) if c in df.columns]
+    return df.select(*session, "track_id", props.alias("properties"), F.to_json(feature).alias("feature"))
 
 
 def track_summary(current: DataFrame) -> DataFrame:

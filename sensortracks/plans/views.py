@@ -42,8 +42,8 @@ def q_append_history(spark, sf_dir):
 SELECT track_id, row_number() OVER (PARTITION BY track_id ORDER BY state_us, session_id) AS seq,
        state_us, session_id FROM hist""", _HIST))
 def q_track_history(spark, sf_dir):
-    h = tables.number_history(events_as_history(spark, sf_dir))
-    return h.select("track_id", F.col("seq").cast("long").alias("seq"), us("state_at").alias("state_us"),
+    h = tables.track_history(events_as_history(spark, sf_dir))
+    return h.select("track_id", "seq", us("state_at").alias("state_us"),
                     "session_id")
 
 
@@ -79,7 +79,7 @@ def q_deltas(spark, sf_dir):
 def track_events(spark, sf_dir):
     """Deltas of the derived history as a change feed: every 24th version is sent as a
     snapshot, every 10th (from 3) once more five places later (a stale copy)."""
-    d = tables.track_deltas(events_as_history(spark, sf_dir)).persist()
+    d = tables.track_deltas(events_as_history(spark, sf_dir))
     sess = F.substring("session_id", 2, 4).cast("long")
     base = d.withColumn("seq", sess * 1_000_000 + F.col("version") * 10) \
         .withColumn("snapshot", F.col("version") % 24 == 0)
@@ -121,16 +121,16 @@ def q_apply_events(spark, sf_dir):
 
 
 @register("tracks_geojson", duck.with_det(f"""
-SELECT track_id, 'T' || track_id::VARCHAR AS label, status,
-       CASE WHEN n_types > 1 THEN 'FUSED' ELSE types END AS source_type, n_types AS source_count,
+SELECT session_id, track_id, 'T' || track_id::VARCHAR AS label, status,
+       CASE WHEN n_types > 1 THEN 'FUSED' ELSE least_type END AS source_type, n_types AS source_count,
        {duck.rnd(_LAT, 7)} AS lat_deg, {duck.rnd(_LON, 7)} AS lon_deg
-FROM cur WHERE session_id = 's2'""", _HIST + ",\n" + _CURRENT))
+FROM cur""", _HIST + ",\n" + _CURRENT))
 def q_geojson(spark, sf_dir):
-    cur = tables.current_tracks(events_as_history(spark, sf_dir)).filter(F.col("session_id") == "s2")
+    cur = tables.current_tracks(events_as_history(spark, sf_dir))
     v = tables.track_view(cur, ORIGIN)
     g = tables.tracks_geojson(v)
-    return g.join(v.select("track_id", "lat_deg", "lon_deg"), "track_id").select(
-        "track_id", "properties.label", "properties.status", "properties.sourceType",
+    return g.join(v.select("session_id", "track_id", "lat_deg", "lon_deg"), ["session_id", "track_id"]).select(
+        "session_id", "track_id", "properties.label", "properties.status", "properties.sourceType",
         F.col("properties.sourceCount").cast("long").alias("source_count"),
         r("lat_deg", 7).alias("lat_deg"), r("lon_deg", 7).alias("lon_deg")
     ).withColumnRenamed("sourceType", "source_type")

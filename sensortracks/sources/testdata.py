@@ -70,11 +70,9 @@ def events_as_detections(spark: SparkSession, sf_dir: str,
 def events_as_deliveries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Delivered records: every detection once, every 17th twice (250 ms later)."""
     d = events_as_detections(spark, sf_dir, keep_event_columns=True)
-    first = d.withColumn("arrived_at", F.timestamp_micros(
-        F.unix_micros("received_at") + 5000))
-    again = (d.filter(F.col("event_id") % 17 == 0)
-             .withColumn("arrived_at", F.timestamp_micros(F.unix_micros("received_at") + 255000)))
-    return first.unionByName(again)
+    late = F.when(F.col("event_id") % 17 == 0, F.array(F.lit(5000), F.lit(255000))).otherwise(F.array(F.lit(5000)))
+    return d.withColumn("_late", F.explode(late)).withColumn(
+        "arrived_at", F.timestamp_micros(F.unix_micros("received_at") + F.col("_late"))).drop("_late")
 
 
 # --- the same mapping for DuckDB -------------------------------------------
@@ -144,17 +142,16 @@ DUCK_FLEET = """fleet AS (
 def events_as_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A track-history table derived from events (input of the track-table operators).
 
-    One row per (user, hourly tick) with at least one identified detection:
+    One row per (user, hourly tick) with at least one detection:
     track_id = user_id, contributors = that tick's coalesced detections sorted
     by source, position and velocity of the first contributor, session by
     ten-day block, status from (user_id + hour) % 10.
     """
     from sensortracks.functions import geo
-    from sensortracks.functions.order import identity, sort_structs
+    from sensortracks.functions.order import sort_structs
     from sensortracks.operators.ticks import assign_tick, coalesce_detections
 
     d = coalesce_detections(assign_tick(events_as_detections(spark, sf_dir, keep_event_columns=True), "1 hour"))
-    d = d.filter(identity().isNotNull())
     p = geo.to_enu(F.col("lat_deg"), F.col("lon_deg"), F.col("alt_m"), ORIGIN)
     v = geo.velocity_components(F.col("speed_mps"), F.col("heading_deg"))
     d = d.select("*", p.east_m.alias("e"), p.north_m.alias("n"), v.ve_mps.alias("ve"), v.vn_mps.alias("vn"))
@@ -183,32 +180,29 @@ def events_as_stage_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A stage-event log derived from delivered events (input of the health operators)."""
     dl = events_as_deliveries(spark, sf_dir)
     eid, et = F.col("event_id"), F.col("event_type")
-    src = [F.col("source_id"), F.col("source_type")]
-    first = dl.filter(F.col("arrived_at") == F.timestamp_micros(F.unix_micros("received_at") + 5000))
-    plus = lambda ms: F.timestamp_micros(F.unix_micros("received_at") + ms * 1000)
-    parts = [
-        first.select(*src, F.lit("adapter").alias("stage"), (~((et == "error") & (eid % 3 == 0))).alias("ok"),
-                     F.col("received_at").alias("at"), F.lit(None).cast("timestamp").alias("received_at")),
-        first.select(*src, F.lit("publish").alias("stage"), (~((et == "error") & (eid % 3 == 1))).alias("ok"),
-                     plus(1).alias("at"), F.lit(None).cast("timestamp").alias("received_at")),
-        dl.select(*src, F.lit("consume").alias("stage"), F.lit(True).alias("ok"), F.col("arrived_at").alias("at"),
-                  "received_at"),
-        dl.filter(F.col("arrived_at") != F.timestamp_micros(F.unix_micros("received_at") + 5000))
-        .select(*src, F.lit("redeliver").alias("stage"), F.lit(True).alias("ok"), F.col("arrived_at").alias("at"),
-                F.lit(None).cast("timestamp").alias("received_at")),
-        first.filter(eid % 23 == 0).select(*src, F.lit("late").alias("stage"), F.lit(True).alias("ok"),
-                                          plus(600_000).alias("at"), F.lit(None).cast("timestamp").alias("received_at")),
-        first.filter(eid % 5 == 0).select(F.lit("WEATHER").alias("source_id"), F.lit("WEATHER").alias("source_type"),
-                                         F.lit("enrichment").alias("stage"), (eid % 50 != 0).alias("ok"),
-                                         plus(2).alias("at"), F.lit(None).cast("timestamp").alias("received_at")),
-        first.filter((et == "error") & (eid % 97 == 0)).select(
-            *src, F.lit("circuit").alias("stage"), F.lit(True).alias("ok"), plus(3).alias("at"),
-            F.lit(None).cast("timestamp").alias("received_at")),
-    ]
-    out = parts[0]
-    for p_ in parts[1:]:
-        out = out.unionByName(p_)
-    return out
+    first = F.unix_micros("arrived_at") == F.unix_micros("received_at") + 5000
+    none = F.lit(None).cast("timestamp")
+
+    def event(stage, ok, at, received=none, source=None):
+        return F.struct(
+            (F.lit(source) if source else F.col("source_id")).alias("source_id"),
+            (F.lit(source) if source else F.col("source_type")).alias("source_type"),
+            F.lit(stage).alias("stage"), ok.alias("ok"), at.alias("at"), received.alias("received_at"))
+
+    def plus(ms):
+        return F.timestamp_micros(F.unix_micros("received_at") + ms * 1000)
+
+    yes, arrived = F.lit(True), F.col("arrived_at")
+    error = et == "error"
+    events = F.array_compact(F.array(
+        F.when(first, event("adapter", ~(error & (eid % 3 == 0)), F.col("received_at"))),
+        F.when(first, event("publish", ~(error & (eid % 3 == 1)), plus(1))),
+        event("consume", yes, arrived, F.col("received_at")),
+        F.when(~first, event("redeliver", yes, arrived)),
+        F.when(first & (eid % 23 == 0), event("late", yes, plus(600_000))),
+        F.when(first & (eid % 5 == 0), event("enrichment", eid % 50 != 0, plus(2), source="WEATHER")),
+        F.when(first & error & (eid % 97 == 0), event("circuit", yes, plus(3)))))
+    return dl.select(F.explode(events).alias("s")).select("s.*")
 
 
 DUCK_HISTORY = """
@@ -216,7 +210,7 @@ DUCK_HISTORY = """
         SELECT *, row_number() OVER (PARTITION BY tick_us, source_type, source_id, icao24
                                      ORDER BY {desc}) AS rn
         FROM (SELECT *, {tick} AS tick_us, {entries} AS attr_entries FROM det))
-      WHERE icao24 IS NOT NULL AND rn = 1),
+      WHERE icao24 IS NULL OR rn = 1),
   hist AS (
     SELECT 's' || ((day(make_timestamp(tick_us)) - 1) // 10)::VARCHAR AS session_id,
            user_id AS track_id,
@@ -224,10 +218,10 @@ DUCK_HISTORY = """
                 WHEN (user_id + tick_us // 3600000000) % 10 <= 7 THEN 'COASTING'
                 WHEN (user_id + tick_us // 3600000000) % 10 = 8 THEN 'TENTATIVE' ELSE 'DROPPED' END AS status,
            tick_us AS state_us, max(epoch_us(observed_at)) AS last_observed_us,
-           arg_min({e}, source_type || '|' || source_id) AS east_m,
-           arg_min({n}, source_type || '|' || source_id) AS north_m,
+           (min(struct_pack(a := source_type, b := source_id, e := {e}, n := {n}))).e AS east_m,
+           (min(struct_pack(a := source_type, b := source_id, e := {e}, n := {n}))).n AS north_m,
            max(alt_m) AS alt_m,
            count(*) + user_id % 3 AS hit_count,
-           string_agg(source_type, ',' ORDER BY source_type, source_id) AS types,
+           min(source_type) AS least_type,
            count(DISTINCT source_type) AS n_types
     FROM co1h GROUP BY user_id, tick_us)"""

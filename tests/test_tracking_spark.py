@@ -11,7 +11,7 @@ from conftest import SF_SMALL
 from sensortracks.operators.lifecycle import track_lifecycle
 from sensortracks.operators.regions import build_tracks_by_region
 from sensortracks.operators.ticks import classify_outcomes
-from sensortracks.operators.tracker import build_tracks
+from sensortracks.operators.tracker import ONE_REGION, build_tracks
 from sensortracks.schema import FusionConfig
 from sensortracks.sources.testdata import events_as_detections
 
@@ -100,15 +100,34 @@ def _key(df):
 
 def test_region_split_equals_one_run(spark):
     d = events_as_detections(spark, SF_SMALL).filter(F.col("observed_at") < "2024-01-08")
-    one = _key(build_tracks(d, "1 minute"))
+    one = _key(build_tracks(d, "1 minute", region=ONE_REGION))
     split = _key(build_tracks_by_region(d, "1 minute", cell_m=3000.0))
     assert one == split and len(one) > 0
 
 
+def test_fleet_runs_in_many_regions(spark):
+    from sensortracks.sources.testdata import events_as_fleet
+
+    d = events_as_fleet(spark, "/root/testdata/sf0.01").filter(F.col("observed_at") < F.timestamp_seconds(F.lit(1_700_000_030)))
+    split = build_tracks(d, "1 second")
+    assert _key(split) == _key(build_tracks(d, "1 second", region=ONE_REGION))
+    assert split.select("region").distinct().count() > 50
+
+
+def test_space_time_split_breaks_at_gaps(spark):
+    from sensortracks.operators.regions import split_space_time
+
+    rows = [(1, 0.0, 0.0), (3, 50.0, 0.0), (9, 0.0, 0.0), (20, 0.0, 0.0), (3, 5000.0, 0.0), (25, 150.0, 0.0)]
+    df = spark.createDataFrame(rows, "tick_ord long, e double, n double")
+    got = {(r["tick_ord"], r["e"]): r["region"] for r in split_space_time(df, 100.0, 5).collect()}
+    assert got[1, 0.0] == got[3, 50.0] and got[20, 0.0] == got[25, 150.0]
+    assert len(set(got.values())) == 4
+
+
 def test_shuffled_input_same_tracks(spark):
     d = events_as_detections(spark, SF_SMALL).filter(F.col("observed_at") < "2024-01-08")
-    a = _key(build_tracks(d, "1 minute"))
-    b = _key(build_tracks(d.repartition(7).orderBy(F.rand(5)), "1 minute"))
+    a = _key(build_tracks(d, "1 minute", region=ONE_REGION))
+    b = _key(build_tracks(d.repartition(7).orderBy(F.rand(5)), "1 minute", region=ONE_REGION))
     assert a == b
 
 
@@ -136,7 +155,7 @@ def test_stream_equals_batch(spark):
          .trigger(availableNow=True).start())
     q.awaitTermination(600)
     got = spark.read.parquet(base + "/out")
-    batch = build_tracks(d, "1 minute")
+    batch = build_tracks(d, "1 minute", region=ONE_REGION)
     # everything but the still-open last tick is identical
     last = batch.agg(F.max("state_at")).first()[0]
     assert _key(got.filter(F.col("state_at") < last)) == _key(batch.filter(F.col("state_at") < last))
@@ -173,7 +192,7 @@ def test_stream_survives_restart(spark):
     rows.filter(F.col("observed_at") >= cut).drop("observed_at").write.json(base + "/in/b")
     run()
     got = spark.read.parquet(base + "/out")
-    batch = build_tracks(d, "1 minute")
+    batch = build_tracks(d, "1 minute", region=ONE_REGION)
     last = batch.agg(F.max("state_at")).first()[0]
     assert 0 < first < got.count()
     assert _key(got.filter(F.col("state_at") < last)) == _key(batch.filter(F.col("state_at") < last))
