@@ -106,22 +106,20 @@ def with_ordinal(df: DataFrame, order: list[Column], out_col: str = "ordinal",
                  eager_checkpoint: bool = True) -> DataFrame:
     """Rows in a total order with their 1-based position, computed distributed.
 
-    A range-partitioned sort, a checkpoint to the shared checkpoint folder so both
-    uses below read the same partitions, per-partition counts turned into offsets
-    (one row per partition), and a row number inside each partition.
+    A range-partitioned sort, numbered in the same pass by (partition, row in
+    partition), is checkpointed to the shared folder; per-partition counts, one row
+    a partition, give the offsets.  Rows are shuffled once.
     """
     from sensortracks.session import checkpoint_dir
 
-    spark = df.sparkSession
-    checkpoint_dir(spark)
-    ordered = df.orderBy(*order).withColumn("_part", F.spark_partition_id())
+    checkpoint_dir(df.sparkSession)
+    ordered = df.orderBy(*order).withColumn("_id", F.monotonically_increasing_id())
     if eager_checkpoint:
         ordered = ordered.checkpoint(eager=True)
+    ordered = ordered.withColumn("_part", F.shiftright("_id", 33))
     counts = ordered.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     counts = counts.withColumn("_off", F.coalesce(F.sum("_n").over(
         Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    local = ordered.withColumn("_r", F.row_number().over(
-        Window.partitionBy("_part").orderBy(*order)))
-    return (local.join(F.broadcast(counts.select("_part", "_off")), "_part")
-            .withColumn(out_col, (F.col("_r") + F.col("_off")).cast("long"))
-            .drop("_part", "_r", "_off"))
+    return (ordered.join(F.broadcast(counts.select("_part", "_off")), "_part")
+            .withColumn(out_col, (F.col("_id").bitwiseAND((1 << 33) - 1) + 1 + F.col("_off")).cast("long"))
+            .drop("_part", "_id", "_off"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sensortracks.functions.order import canonical_key, canonical_order, identity
+from sensortracks.functions.order import ORDER_COLUMNS, canonical_key, canonical_order, identity
 from sensortracks.operators.common import ceil_div, floor_to, interval_us, micros, running_max_before
 from sensortracks.schema import DETECTION_COLUMNS
 
@@ -31,16 +31,18 @@ def dedup_deliveries(df: DataFrame, key=("topic", "partition", "offset"),
     huge number of times never lands whole in one task.
     """
     key = list(key)
-    payload = [c for c in df.columns if c not in key and c != "attributes"]
+    # the ordering key holds the detection's own fields; only the others ride along
+    payload = [c for c in df.columns if c not in (*key, *ORDER_COLUMNS, "attributes")]
     best = F.min(F.struct(F.col(arrival).alias("_arr"), canonical_key().alias("_ord"),
                           *[F.col(c) for c in payload]))
     agg = df.groupBy(*key).agg(best.alias("_first"), F.count(F.lit(1)).alias("_copies"))
     first = agg.select(*key, *[F.col("_first." + c).alias(c) for c in payload],
+                       *[F.col("_first._ord." + c).alias(c) for c in ORDER_COLUMNS if c not in key],
                        F.map_from_entries("_first._ord.attr_entries").alias("attributes"))
     first = first.select(*df.columns)
     redelivered = (agg.filter(F.col("_copies") > 1)
-                   .select(*key, F.col("_first.source_type").alias("source_type"),
-                           F.col("_first.source_id").alias("source_id"),
+                   .select(*key, F.col("_first._ord.source_type").alias("source_type"),
+                           F.col("_first._ord.source_id").alias("source_id"),
                            (F.col("_copies") - 1).alias("redelivered")))
     return first, redelivered
 
@@ -84,12 +86,13 @@ def coalesce_detections(df: DataFrame, tick: str = "tick") -> DataFrame:
     keyed = df.withColumn("_identity", identity())
     extra = [c for c in df.columns if c not in DETECTION_COLUMNS and c != tick]
     loose = keyed.filter(F.col("_identity").isNull()).drop("_identity")
-    payload = [c for c in DETECTION_COLUMNS if c != "attributes"] + extra
-    best = F.max(F.struct(canonical_key().alias("_ord"), *[F.col(c) for c in payload]))
+    # the ordering key holds the detection's own fields; only the others ride along
+    best = F.max(F.struct(canonical_key().alias("_ord"), *[F.col(c) for c in extra]))
     kept = (keyed.filter(F.col("_identity").isNotNull())
             .groupBy(tick, "source_type", "source_id", "_identity")
             .agg(best.alias("_b"))
-            .select(tick, *[F.col("_b." + c).alias(c) for c in payload],
+            .select(tick, *[F.col("_b." + c).alias(c) for c in extra],
+                    *[F.col("_b._ord." + c).alias(c) for c in ORDER_COLUMNS],
                     F.map_from_entries("_b._ord.attr_entries").alias("attributes")))
     return loose.unionByName(kept.select(*loose.columns))
 

@@ -139,19 +139,23 @@ def outcome_as_of(spark, sf_dir):
     return F.timestamp_micros(F.unix_micros(F.lit("2024-01-30 12:00:00").cast("timestamp")))
 
 
-@register("classify_outcomes", duck.with_det(f"""
-SELECT a.event_id, a.flush_no, epoch_us(a.tick) AS tick_us,
-  CASE WHEN a.flush_no * 500000 > epoch_us(TIMESTAMP '2024-01-30 12:00:00') THEN 'PENDING'
-       WHEN EXISTS (SELECT 1 FROM f b WHERE b.flush_no < a.flush_no AND b.tick >= a.tick) THEN 'LATE'
-       ELSE 'FUSED' END AS outcome
-FROM f a""", _DUCK_DELIVERIES + """,
+DUCK_OUTCOMES = _DUCK_DELIVERIES + f""",
 firsts AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY topic, "partition", "offset" ORDER BY arrived_at) AS rn
            FROM deliv) WHERE rn = 1),
-g AS (SELECT event_id,
+g AS (SELECT event_id, received_at,
         CASE WHEN event_id % 23 = 0 THEN make_timestamp(epoch_us(arrived_at) + 600000000) ELSE arrived_at END AS arrived_at,
-        make_timestamp(""" + duck.tick_us("observed_at", 1_000_000) + """) AS tick FROM firsts),
-f AS (SELECT event_id, tick,
-        (greatest(epoch_us(arrived_at), epoch_us(tick) + 2000000) + 499999) // 500000 AS flush_no FROM g)"""))
+        make_timestamp({duck.tick_us("observed_at", 1_000_000)}) AS tick FROM firsts),
+f AS (SELECT event_id, tick, received_at,
+        (greatest(epoch_us(arrived_at), epoch_us(tick) + 2000000) + 499999) // 500000 AS flush_no FROM g),
+outcomes AS (
+  SELECT a.event_id, a.flush_no, epoch_us(a.tick) AS tick_us, epoch_us(a.received_at) AS received_us,
+    CASE WHEN a.flush_no * 500000 > epoch_us(TIMESTAMP '2024-01-30 12:00:00') THEN 'PENDING'
+         WHEN EXISTS (SELECT 1 FROM f b WHERE b.flush_no < a.flush_no AND b.tick >= a.tick) THEN 'LATE'
+         ELSE 'FUSED' END AS outcome
+  FROM f a)"""
+
+
+@register("classify_outcomes", duck.with_det("SELECT event_id, flush_no, tick_us, outcome FROM outcomes", DUCK_OUTCOMES))
 def q_outcomes(spark, sf_dir):
     df = outcome_input(spark, sf_dir)
     out = classify_outcomes(df, as_of="2024-01-30 12:00:00", lateness="2 seconds", flush="500 ms")

@@ -6,20 +6,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sensortracks.functions import geo
-from sensortracks.functions.order import canonical_order, identity
+from sensortracks.functions.order import identity
 from sensortracks.operators.associate import assign_pairs, gate_pairs
-from sensortracks.operators.common import dense_ordinal, with_ordinal
+from sensortracks.operators.common import dense_ordinal
 from sensortracks.operators.contributors import contributors_as_of
 from sensortracks.operators.lifecycle import track_lifecycle
 from sensortracks.operators.motion import kalman_filter
 from sensortracks.operators.regions import build_tracks_by_region, split_regions
 from sensortracks.operators.ticks import assign_tick, coalesce_detections
-from sensortracks.operators.tracker import ONE_REGION, build_tracks, replay_tracks
+from sensortracks.operators.tracker import ONE_REGION, build_tracks, number_tracks, replay_tracks
 from sensortracks.plans import duck
 from sensortracks.plans.registry import r, register, us
 from sensortracks.schema import INITIAL_VELOCITY_VARIANCE, FusionConfig
 from sensortracks.sources.testdata import (
-    DUCK_FLEET, FLEET_STEP_US, ORIGIN, events_as_detections, events_as_fleet)
+    DUCK_FLEET, FLEET_STEP_US, ORIGIN, events_as_detections, events_as_fleet, events_as_history)
 
 TRACK_TICK = "6 hours"
 TRACK_TICK_US = 6 * 3600 * 1_000_000
@@ -286,7 +286,7 @@ def birth_rows(spark, sf_dir) -> DataFrame:
 
 
 @register("number_tracks", duck.with_det(f"""
-SELECT event_id, 41 + row_number() OVER (ORDER BY tick_us, source_rank, pos) AS track_id
+SELECT event_id, (SELECT max(user_id) FROM det) + row_number() OVER (ORDER BY tick_us, source_rank, pos) AS track_id
 FROM (SELECT *, min(pos) OVER (PARTITION BY tick_us, source_type, source_id) AS first_pos FROM (
         SELECT *, row_number() OVER (PARTITION BY tick_us ORDER BY {duck.CANONICAL_ASC}) AS pos FROM co)) x
 JOIN (SELECT tick_us, source_type, source_id,
@@ -302,10 +302,14 @@ JOIN (SELECT tick_us, source_type, source_id,
       WHERE icao24 IS NULL OR rn = 1)"""))
 def q_number_tracks(spark, sf_dir):
     b = birth_rows(spark, sf_dir)
-    order = [F.col("tick_us"), F.col("source_rank"), *canonical_order()]
-    ids = with_ordinal(b, order, "ordinal")
-    history_max = F.lit(41)  # the largest id already in history
-    return ids.select("event_id", (F.col("ordinal") + history_max).cast("long").alias("track_id"))
+    born = {"b_rank": "source_rank", "b_observed_us": F.unix_micros("observed_at"), "b_lat": "lat_deg", "b_lon": "lon_deg",
+            "b_alt": "alt_m", "b_speed": "speed_mps", "b_heading": "heading_deg", "b_sigma": "sigma_m",
+            "b_received_us": F.unix_micros("received_at"), "b_attr_key": "attr_key"}
+    births = b.select(F.lit(0).cast("long").alias("region"), F.col("event_id").alias("local_id"), "tick_us",
+                      F.lit(True).alias("is_birth"),
+                      *[(F.col(c) if isinstance(c, str) else c).alias(k) for k, c in born.items()])
+    used = events_as_history(spark, sf_dir).select(F.coalesce(F.max("track_id"), F.lit(0)) + 1).scalar()
+    return number_tracks(births, used).select(F.col("local_id").alias("event_id"), "track_id")
 
 
 _DUCK_ASG = f"""asg AS (SELECT user_id AS track_id, tick_us, source_type, source_id, event_id, observed_at FROM (

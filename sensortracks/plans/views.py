@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from sensortracks.operators import evaluate, health, tables
 from sensortracks.plans import duck
-from sensortracks.plans.ingest import outcome_input
+from sensortracks.plans.ingest import DUCK_OUTCOMES, outcome_input
 from sensortracks.plans.registry import r, register, us
 from sensortracks.operators.ticks import classify_outcomes
 from sensortracks.session import checkpoint_dir
@@ -234,7 +234,9 @@ def q_latency_pct(spark, sf_dir):
     return health.nearest_rank(s.select(ms.alias("ms")).filter("ms >= 0"), "ms")
 
 
-@register("end_to_end_latency")
+@register("end_to_end_latency", duck.with_det(f"""
+SELECT {_pct_sql('ms')} FROM (SELECT (tick_us - received_us) / 1000.0 AS ms FROM outcomes WHERE outcome = 'FUSED')
+WHERE ms >= 0""", DUCK_OUTCOMES))
 def q_e2e(spark, sf_dir):
     out = classify_outcomes(outcome_input(spark, sf_dir), as_of="2024-01-30 12:00:00",
                             lateness="2 seconds", flush="500 ms")
