@@ -254,9 +254,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     more = saved(confirmed(left.filter("la <> lb"), texts))
     labels = connected_components(links.unionByName(more), "a", "b")
 
-    at = groups.join(labels, "node", "left").select(
-        "set_id", F.coalesce("label", "node").alias("component"), "least_doc", "node")
-    least = at.groupBy("component").agg(F.min("least_doc").alias("component_id"))
+    at = saved(groups.join(labels, "node", "left").select(
+        "set_id", F.coalesce("label", "node").alias("component"), "least_doc"))
+    # saved, so that the join below has two plain sides and a large component can be split
+    least = saved(at.groupBy("component").agg(F.min("least_doc").alias("component_id")))
     at = at.join(least, "component").select("set_id", "component", F.col("component_id"))
     out = described.drop("sig").join(at, "set_id", "left")
     alone = F.col("set_id").isNull()
