@@ -101,6 +101,21 @@ def source_latency(stages: DataFrame, quantiles=(0.5, 0.95, 0.99)) -> DataFrame:
                         "latency_ms", SOURCE, quantiles)
 
 
+def latency_histogram(stages: DataFrame, per_octave: int = 4) -> DataFrame:
+    """consumed messages per source and latency bucket (negatives left out).
+
+    Buckets grow by the ``per_octave``-th root of two; ``upper_ms`` is a bucket's
+    upper bound (0 for latencies of 0), inclusive.
+    """
+    ok = stages.filter((F.col("stage") == "consume") & F.col("ok"))
+    ms = (F.unix_micros("at") - F.unix_micros("received_at")) / F.lit(1000.0)
+    # rounded, so that a latency on a bound is not moved by the last bit of its logarithm
+    step = F.ceil(F.round(F.log2("ms") * per_octave, 9))
+    upper = F.when(F.col("ms") == 0, F.lit(0.0)).otherwise(F.pow(F.lit(2.0), step / per_octave))
+    return (ok.select(*SOURCE, ms.alias("ms")).filter("ms >= 0").withColumn("upper_ms", upper)
+            .groupBy(*SOURCE, "upper_ms").agg(F.count(F.lit(1)).alias("messages")))
+
+
 def end_to_end_latency(outcomes: DataFrame, quantiles=(0.5, 0.95, 0.99)) -> DataFrame:
     """tick - receivedAt in ms over FUSED records (negatives left out)."""
     ms = (F.unix_micros("tick") - F.unix_micros("received_at")) / F.lit(1000.0)

@@ -224,6 +224,16 @@ def q_source_latency(spark, sf_dir):
     return health.source_latency(events_as_stage_events(spark, sf_dir))
 
 
+@register("latency_histogram", duck.with_det("""
+SELECT source_type, source_id, round(CASE WHEN ms = 0 THEN 0.0 ELSE pow(2.0, ceil(round(log2(ms) * 4, 9)) / 4) END, 6) AS upper_ms,
+       count(*) AS messages
+FROM (SELECT source_type, source_id, (epoch_us(ev_at) - epoch_us(rcv)) / 1000.0 AS ms FROM stages
+      WHERE stage = 'consume' AND ok) WHERE ms >= 0 GROUP BY ALL""", _STAGES))
+def q_latency_histogram(spark, sf_dir):
+    h = health.latency_histogram(events_as_stage_events(spark, sf_dir))
+    return h.select("source_type", "source_id", r("upper_ms", 6).alias("upper_ms"), "messages")
+
+
 @register("latency_percentiles", duck.with_det(f"""
 SELECT {_pct_sql('ms')} FROM (
   SELECT (epoch_us(ev_at) - epoch_us(rcv)) / 1000.0 AS ms FROM stages WHERE stage = 'consume' AND ok)
