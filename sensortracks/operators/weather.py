@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from sensortracks.functions import geo
 from sensortracks.operators.common import interval_us
-from sensortracks.session import checkpoint_dir
+from sensortracks.session import checkpoint_dir, discard, written
 from sensortracks.sources.feeds import is_number, vtype
 
 # --- fixed values: weather attribute keys and unit factors -------------------
@@ -83,7 +83,7 @@ def plan_weather_lookups(detections: DataFrame, ttl, grid_deg: float, at: str =
 
     Per cell the first request fetches; the next fetch is the first request at or
     after fetch + ttl, and so on.  ``next`` pointers (first request >= t + ttl)
-    come from one forward-looking window per cell; the chain from each cell's
+    come from windows over TTL-wide buckets and one row per bucket; the chain from each cell's
     first request is then expanded by pointer doubling (O(log n) joins), so no
     cell's chain is ever gathered in one place.  Returns cell_lat, cell_lon,
     fetch_at, plus the number of requests the fetch serves.
@@ -101,15 +101,25 @@ def plan_weather_lookups(detections: DataFrame, ttl, grid_deg: float, at: str =
                           F.lit(1).alias("kind"), F.lit(None).cast("long").alias("cand"))
     data = times.select(*key, F.col("t").alias("pos"), F.lit(None).cast("long").alias("src"),
                         F.lit(0).alias("kind"), F.col("t").alias("cand"))
-    wf = Window.partitionBy(*key).orderBy("pos", "kind").rowsBetween(0, Window.unboundedFollowing)
-    nxt = (probes.unionByName(data).withColumn("nxt", F.first("cand", ignorenulls=True).over(wf))
-           .filter("kind = 1").select(*key, F.col("src").alias("t"), "nxt")).checkpoint(eager=True)
+    both = probes.unionByName(data).withColumn("_b", F.floor(F.col("pos") / F.lit(ttl_us)).cast("long"))
+    # inside a TTL-wide bucket by a window; beyond it, the first request of the next
+    # bucket that has one, from a table of one row per bucket
+    inside = Window.partitionBy(*key, "_b").orderBy("pos", "kind").rowsBetween(0, Window.unboundedFollowing)
+    beyond = Window.partitionBy(*key).orderBy("_b").rowsBetween(1, Window.unboundedFollowing)
+    firsts = both.groupBy(*key, "_b").agg(F.min("cand").alias("_first")).withColumn(
+        "_next", F.first("_first", ignorenulls=True).over(beyond)).drop("_first")
+    nxt = (both.withColumn("_in", F.first("cand", ignorenulls=True).over(inside)).filter("kind = 1")
+           .join(firsts, [*key, "_b"])
+           .select(*key, F.col("src").alias("t"), F.coalesce("_in", "_next").alias("nxt")))
+    old: list[str] = []
+    nxt = written(nxt, old)
     heads = times.groupBy(*key).agg(F.min("t").alias("t"))
-    chain = heads.checkpoint(eager=True)
+    chain = written(heads, old)
     jump = nxt  # jump by 2^k
     while True:  # the chain is finite and doubles its reach each round
         step = chain.join(jump, [*key, "t"]).select(*key, F.col("nxt").alias("t")).filter(F.col("t").isNotNull())
-        new_chain = chain.unionByName(step).distinct().checkpoint(eager=True)
+        new_chain = written(chain.unionByName(step).distinct(), old)
+        own = len(old)
         grew = new_chain.count() > chain.count()
         chain = new_chain
         j2 = (jump.alias("a").join(jump.alias("b"), [F.col("a.cell_lat") == F.col("b.cell_lat"),
@@ -119,7 +129,8 @@ def plan_weather_lookups(detections: DataFrame, ttl, grid_deg: float, at: str =
                       F.col("a.t").alias("t"), F.col("b.nxt").alias("nxt")))
         if not grew:
             break
-        jump = j2.checkpoint(eager=True)
+        jump = written(j2, old)
+    discard(spark, old[:own - 1] + old[own:])
     # Each request is served by the one fetch f with f <= t < f + ttl: an
     # equi-join on (cell, ttl bucket) with a range test, no per-cell window.
     b0 = F.floor(F.col("fetch_us") / F.lit(ttl_us)).cast("long")
