@@ -13,7 +13,7 @@ level by level with grouped sums.  The learned weights are then fixed: a text's
 probability is the product over its bytes of the mixture's conditional
 probabilities, so every text is scored by the same model whatever the order.
 
-The table of grams (distinct 6-byte windows) and that of words grow with the corpus and stay
+The table of grams (distinct 5-byte windows) and that of words grow with the corpus and stay
 distributed.  Only the most frequent entries of each (``TOP_WORDS``, ``TOP_GRAMS``) go to every task, a
 bound on memory, not on results: other entries of a text leave the task as rows and
 meet their values in a join.  Frequent keys never reach that join, so it has no hot key.
@@ -32,11 +32,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sensortracks.llm.common import held_out, merged, runs, written
+from sensortracks.session import discard
 
-DEPTH = 5
+DEPTH = 4
 TOP_WORDS = 1 << 18
-TOP_GRAMS = 1 << 20
+TOP_GRAMS = 1 << 18
 CHUNK_BYTES = 1 << 20
+TASK_BYTES = 16 << 20
 END = 0xFF  # occurs in no UTF-8 text: closes a text, and pads the context before its first byte
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
@@ -76,10 +78,19 @@ def _count_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     """(word binary, n): tokens of all texts; the empty word stands for the end of a text."""
-    return docs.select(F.col(text).alias("text")).mapInPandas(_count_words, "word binary, n long").groupBy(
+    return _few(docs.select(F.col(text).alias("text"))).mapInPandas(_count_words, "word binary, n long").groupBy(
         "word").agg(F.sum("n").alias("n"))
 
 
+def _few(rows: DataFrame) -> DataFrame:
+    """``rows`` in tasks of about TASK_BYTES of text, so that a task can combine what it counts.
+
+    Only joins small partitions; never fewer tasks than twice the cores.
+    """
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return rows.coalesce(max(2 * rows.sparkSession.sparkContext.defaultParallelism, math.ceil(size / TASK_BYTES)))
+
+
 def gram_counts(docs: DataFrame, train: Column, text: str = "text", depth: int = DEPTH) -> DataFrame:
     """(gram, n): every window of all texts, with its count in the training texts (0: seen elsewhere only)."""
 
@@ -105,7 +116,7 @@ def gram_counts(docs: DataFrame, train: Column, text: str = "text", depth: int =
 
     rows = docs.select(F.coalesce(F.col(text), F.lit("")).alias("text"),
                        F.coalesce(train, F.lit(False)).alias("train"))
-    return rows.mapInPandas(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    return _few(rows).mapInPandas(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
 
 
 def _log_gamma(x: Column) -> Column:
@@ -134,12 +145,14 @@ def _bits(grams: DataFrame, *more: str) -> DataFrame:
 
 
 def gram_log_probs(counts: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """(gram, n, lp): log10 of the weighted conditional probability of a window's last byte after the others."""
+    """(gram, n, lp), written: log10 of the weighted conditional probability of a window's last byte after the others."""
+    old: list[str] = []
+    counts = written(counts, old)
     bits = _bits(counts, "n")
     level = bits.groupBy("ctx", "so_far").agg(
         F.sum(F.when(F.col("bit") == 0, F.col("n")).otherwise(0)).alias("n0"),
         F.sum(F.when(F.col("bit") == 1, F.col("n")).otherwise(0)).alias("n1"))
-    level = written(level.withColumn("pw", _log_kt(F.col("n0"), F.col("n1"))).withColumn("stop", F.lit(1.0)))
+    level = written(level.withColumn("pw", _log_kt(F.col("n0"), F.col("n1"))).withColumn("stop", F.lit(1.0)), old)
     levels = [level]
     for d in range(depth - 1, -1, -1):
         below = level.withColumn("ctx", F.col("ctx").bitwiseAND(256 ** d - 1))
@@ -150,7 +163,7 @@ def gram_log_probs(counts: DataFrame, depth: int = DEPTH) -> DataFrame:
         level = level.withColumn("pw", F.col("top") + F.log(
             0.5 * F.exp(F.col("pe") - F.col("top")) + 0.5 * F.exp(F.col("kids") - F.col("top"))))
         level = written(level.select("ctx", "so_far", "n0", "n1", "pw",
-                                   F.least(F.lit(1.0), 0.5 * F.exp(F.col("pe") - F.col("pw"))).alias("stop")))
+                                   F.least(F.lit(1.0), 0.5 * F.exp(F.col("pe") - F.col("pw"))).alias("stop")), old)
         levels.append(level)
     one = (F.col("n1") + 0.5) / (F.col("n0") + F.col("n1") + 1)
     mix = None
@@ -165,8 +178,10 @@ def gram_log_probs(counts: DataFrame, depth: int = DEPTH) -> DataFrame:
                .select("ctx", "so_far", (F.col("p1") + F.col("rest") * F.col("stop") * F.col("one")).alias("p1"),
                        (F.col("rest") * (1 - F.col("stop"))).alias("rest")))
     p = F.when(F.col("bit") == 1, F.col("p1")).otherwise(1 - F.col("p1"))
-    return bits.join(mix, ["ctx", "so_far"]).groupBy("gram").agg(
-        F.first("n").alias("n"), F.sum(F.log10(p)).alias("lp"))
+    out = written(bits.join(mix, ["ctx", "so_far"]).groupBy("gram").agg(
+        F.first("n").alias("n"), F.sum(F.log10(p)).alias("lp")))
+    discard(counts.sparkSession, old)
+    return out
 
 
 class Table:
@@ -174,7 +189,7 @@ class Table:
 
     FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], np.uint64)
 
-    def __init__(self, keys: np.ndarray, values: np.ndarray, bits: int = 22):
+    def __init__(self, keys: np.ndarray, values: np.ndarray, bits: int = 21):
         """``keys`` come with the most frequent first; those win a slot."""
         self.shift = np.uint64(64 - bits)
         self.keys = np.full(1 << bits, -1, np.int64)
@@ -290,7 +305,7 @@ def score_documents(docs: DataFrame, depth: int = DEPTH, top_words: int = TOP_WO
     train = ~held_out("doc_id", 7)
     words = written(word_counts(rows.filter(train)))
     total, kinds = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    grams = written(gram_log_probs(written(gram_counts(rows, train, depth=depth)), depth))
+    grams = gram_log_probs(gram_counts(rows, train, depth=depth), depth)
     best = frequent(words, top_words)
     common = (best["word"].to_pylist(), np.log10(best["n"].to_numpy() + 1.0).tolist())
     best = frequent(grams, top_grams)
