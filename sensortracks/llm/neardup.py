@@ -17,6 +17,13 @@ agree in three quarters, 5.7 standard deviations more).  All others are confirme
 full sets: 100 * common >= 75 * union.  Confirmation goes in two rounds: each class's ``FIRST``
 likeliest pairs, then every pair that still joins two components; a pair inside a
 component cannot change the result.
+
+Where more rows than a row meets share ``LEAST`` values (a crowded run), links may lie
+outside the met pairs: a template's copies that link to the template only.  The rows of
+crowded runs that lie in more than one component go through an exact join, which has no cap:
+two sets with a link share one of their rarest quarter of shingles.  Shingles in up to
+``FEW`` of these rarest quarters are joined pair by pair, with the length and position filters;
+sets that are tied by more frequent ones form clusters, compared block by block in full.
 """
 
 from __future__ import annotations
@@ -38,6 +45,7 @@ PERCENT = 75
 TREES, STRIDE, DEPTH = 24, 4, 8
 LEAST, REACH, FIRST = 3, 3, 2
 CHUNK_BYTES = 1 << 19
+FEW, CELL_ITEMS, COLUMNS = 32, 1 << 19, 4096
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _ODD = np.random.RandomState(20262).randint(0, 1 << 62, 512, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 _BYTE = _ODD[:256]
@@ -141,24 +149,33 @@ def _pairs(tree: np.ndarray, key: np.ndarray, node: np.ndarray) -> pd.DataFrame:
     return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
 
+def _crowded(tree: np.ndarray, key: np.ndarray, node: np.ndarray) -> pd.DataFrame:
+    """Rows of runs of more than REACH + 1 sorted rows that share at least LEAST values, with the shared values."""
+    far = REACH + 1
+    same = (key[:-far, :LEAST] == key[far:, :LEAST]).all(1) & (tree[:-far] == tree[far:])
+    i = np.unique(np.flatnonzero(same)[:, None] + np.arange(far + 1))
+    return pd.DataFrame({"a": node[i], "b": node[i], "tree": tree[i], "key": [k.tobytes() for k in key[i, :LEAST]]})
+
+
 def _neighbours(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Pairs of one sorted partition; its first and last rows also leave as rows of their own (with a key)."""
+    """Pairs (kind 0) and crowded rows (kind 2) of one sorted partition; its first and last rows also leave (kind 1)."""
     rest = None
     first = True
 
     def ends(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pdf.assign(a=pdf["node"], b=pdf["node"])[["a", "b", "tree", "key"]]
+        return pdf.assign(a=pdf["node"], b=pdf["node"], kind=1)[["a", "b", "tree", "key", "kind"]]
 
     for pdf in batches:
         pdf = pdf.reset_index(drop=True)
         if first and len(pdf):
-            yield ends(pdf.head(REACH))
+            yield ends(pdf.head(REACH + 1))
             first = False
         part = pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
         key = np.frombuffer(b"".join(part["key"]), ">u4").reshape(len(part), -1)
-        new = _pairs(part["tree"].to_numpy(), key, part["node"].to_numpy())
-        yield new.drop_duplicates().assign(tree=-1, key=None)
-        rest = part.tail(REACH)
+        line = part["tree"].to_numpy(), key, part["node"].to_numpy()
+        yield _pairs(*line).drop_duplicates().assign(tree=-1, key=None, kind=0)
+        yield _crowded(*line).assign(kind=2)
+        rest = part.tail(REACH + 1)
     if rest is not None:
         yield ends(rest)
 
@@ -167,18 +184,23 @@ def _across(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     pdf = pd.concat(list(batches), ignore_index=True)
     if len(pdf):
         key = np.frombuffer(b"".join(pdf["key"]), ">u4").reshape(len(pdf), -1)
-        yield _pairs(pdf["tree"].to_numpy(), key, pdf["node"].to_numpy())
+        line = pdf["tree"].to_numpy(), key, pdf["node"].to_numpy()
+        yield _pairs(*line).assign(tree=-1, key=None, kind=0)
+        yield _crowded(*line).assign(kind=2)
 
 
-def candidates(classes: DataFrame) -> DataFrame:
-    """(a, b, agree): distinct pairs of classes, with the share of their signatures that agrees, at least half."""
+def candidates(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pairs and crowded runs: (a, b, agree), distinct pairs of classes with the share of their signatures that
+    agrees, at least half; (run, node), the classes of every run with more rows than a row meets."""
     line = _orders(classes).repartitionByRange("tree", "key", "node").sortWithinPartitions("tree", "key", "node")
-    found = saved(line.mapInPandas(_neighbours, "a long, b long, tree int, key binary"))
-    inner = found.filter("tree < 0").select("a", "b")
+    schema = "a long, b long, tree int, key binary, kind int"
+    found = saved(line.mapInPandas(_neighbours, schema))
     # a few rows a partition, in one sorted line: pairs over the borders (pairs found twice do no harm)
-    border = found.filter("tree >= 0").select("tree", "key", F.col("a").alias("node")).distinct()
-    border = border.coalesce(1).sortWithinPartitions("tree", "key", "node").mapInPandas(_across, "a long, b long")
-    pairs = inner.unionByName(border).filter("a <> b").distinct()
+    border = found.filter("kind = 1").select("tree", "key", F.col("a").alias("node")).distinct()
+    border = border.coalesce(1).sortWithinPartitions("tree", "key", "node").mapInPandas(_across, schema)
+    found = found.filter("kind <> 1").unionByName(saved(border))
+    pairs = found.filter("kind = 0 and a <> b").select("a", "b").distinct()
+    crowds = found.filter("kind = 2").select(F.xxhash64("tree", "key").alias("run"), F.col("a").alias("node"))
 
     @F.pandas_udf("double")
     def agree(x: pd.Series, y: pd.Series) -> pd.Series:
@@ -190,7 +212,7 @@ def candidates(classes: DataFrame) -> DataFrame:
     sig = classes.select("node", "sig")
     both = (pairs.join(sig.withColumnsRenamed({"node": "a", "sig": "sa"}), "a")
             .join(sig.withColumnsRenamed({"node": "b", "sig": "sb"}), "b"))
-    return both.select("a", "b", agree("sa", "sb").alias("agree")).filter("agree >= 0.5")
+    return both.select("a", "b", agree("sa", "sb").alias("agree")).filter("agree >= 0.5"), crowds
 
 
 def _linked(x: pd.Series, y: pd.Series) -> pd.Series:
@@ -216,6 +238,99 @@ def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.filter(F.pandas_udf(_linked, "boolean")("ta", "tb")).select("a", "b")
 
 
+def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        texts = pdf["text"].tolist()
+        for a, b in runs([len(t or "") for t in texts], CHUNK_BYTES):
+            sets = shingle_sets(texts[a:b])
+            yield pd.DataFrame({"node": pdf["node"].iloc[a:b].to_numpy(), "size": [len(s) for s in sets],
+                                "shingles": [s.view(np.int64) for s in sets]})
+
+
+def _linking(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Links that join different labels, between two blocks of sets or inside one; as many as joins need."""
+    first = pdf["block"].to_numpy() == pdf["i"].iloc[0]
+    if first.all() or not first.any():
+        left = right = np.arange(len(pdf))
+    else:
+        left, right = np.flatnonzero(first), np.flatnonzero(~first)
+    node, size, label = (pdf[c].to_numpy() for c in ("node", "size", "label"))
+    out = []
+    if (label != label[0]).any():
+        row = np.repeat(np.arange(len(pdf)), size)
+        _, word, count = np.unique(np.concatenate(pdf["shingles"].tolist()), return_inverse=True, return_counts=True)
+        often = count > 1
+        row, word = row[often[word]], (np.cumsum(often) - 1)[word[often[word]]]
+        order = np.argsort(word, kind="stable")
+        row, word = row[order], word[order]
+        common = np.zeros((len(left), len(right)), np.float32)
+        for at in range(0, int(often.sum()), COLUMNS):
+            a, b = np.searchsorted(word, [at, at + COLUMNS])
+            has = np.zeros((len(pdf), COLUMNS), np.float32)
+            has[row[a:b], word[a:b] - at] = 1
+            common += has[left] @ has[right].T
+        label = label.copy()
+        for k, x in enumerate(left):
+            n = common[k].astype(np.int64)
+            near = right[100 * n >= PERCENT * (size[x] + size[right] - n)]
+            near = near[label[near] != label[x]]
+            if len(near):
+                others, at = np.unique(label[near], return_index=True)
+                out += [(node[x], node[y]) for y in near[at]]
+                label[np.isin(label, others)] = label[x]
+    return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+
+def crowd_links(crowds: DataFrame, labels: DataFrame, texts: DataFrame) -> DataFrame | None:
+    """(a, b): links that join different ``labels`` of classes in a crowded run, enough to join all that are
+    linked; None if no run has two labels.
+
+    Two sets with a link share a shingle among the first ``size - ceil(0.75 * size) + 1`` of each, in any one order of
+    all shingles; the order is by the number of sets.  Every pair that shares one is compared in full.
+    """
+    at = saved(crowds.distinct().join(labels, "node", "left").select("run", "node", F.coalesce("label", "node").alias("label")))
+    mixed = saved(at.groupBy("run").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x < y").select("run"))
+    if mixed.isEmpty():
+        return None
+    active = saved(at.join(mixed, "run").select("node", "label").distinct())
+    sets = saved(texts.join(active, "node").select("node", "text").mapInPandas(
+        _sets, "node long, size long, shingles array<long>").join(active, "node"))
+    items = sets.select("node", "label", "size", F.explode("shingles").alias("w"))
+    counts = saved(items.groupBy("w").agg(F.count("*").alias("n")).filter("n > 1"))
+    ranked = items.join(counts, "w", "left").withColumn("place", F.row_number().over(
+        Window.partitionBy("node").orderBy(F.coalesce("n", F.lit(1)), "w")))
+    early = saved(ranked.filter("n > 1 and place <= size - (3 * size + 3) div 4 + 1").select(
+        "w", "node", "label", "size", (F.col("size") - F.col("place") + 1).alias("left")))
+    words = saved(early.groupBy("w").agg(F.count("*").alias("n"), F.min("label").alias("x"), F.max("label").alias("y"),
+                                         F.min("node").alias("least")).filter("x < y").select("w", "n", "least"))
+
+    side = saved(early.join(words.filter(F.col("n") <= FEW).select("w"), "w"))
+    x, y = (side.select("w", *[F.col(c).alias(f"{c}_{e}") for c in ("node", "label", "size", "left")]) for e in "ab")
+    pairs = x.join(y, "w").filter(
+        "node_a < node_b and label_a <> label_b and 4 * least(size_a, size_b) >= 3 * greatest(size_a, size_b) "
+        "and 7 * least(left_a, left_b) >= 3 * (size_a + size_b)")
+    pairs = saved(pairs.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct())
+    full = sets.select("node", "shingles")
+    both = (pairs.join(full.withColumnsRenamed({"node": "a", "shingles": "sa"}), "a")
+            .join(full.withColumnsRenamed({"node": "b", "shingles": "sb"}), "b")
+            .withColumn("n", F.size(F.array_intersect("sa", "sb"))))
+    links = both.filter(100 * F.col("n") >= PERCENT * (F.size("sa") + F.size("sb") - F.col("n"))).select("a", "b")
+
+    tied = saved(early.join(words.filter(F.col("n") > FEW).select("w", "least"), "w").select("node", "least").distinct())
+    if not tied.isEmpty():
+        rows = saved(sets.join(connected_components(tied, "node", "least").withColumnRenamed("label", "cluster"), "node"))
+        blocks = saved(rows.groupBy("cluster").agg(
+            F.ceil(F.sum("size") / CELL_ITEMS).cast("int").alias("blocks"), F.min("label").alias("x"),
+            F.max("label").alias("y")).filter("x < y").select("cluster", "blocks"))
+        rows = rows.join(F.broadcast(blocks), "cluster").withColumn(
+            "block", F.pmod(F.xxhash64("node"), "blocks").cast("int")).withColumn(
+            "other", F.explode(F.expr("sequence(0, blocks - 1)")))
+        rows = rows.select("cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block",
+                           "node", "label", "size", "shingles")
+        links = links.unionByName(rows.groupBy("cluster", "i", "j").applyInPandas(_linking, "a long, b long"))
+    return saved(links)
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, text_key, n_shingles, component_id, kept, first_row) of every row of ``docs``.
 
@@ -235,10 +350,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     groups = saved(full.groupBy("set_id").agg(F.min("rid").alias("node"), F.min("doc_id").alias("least_doc")))
     classes = saved(full.join(groups.select("node"), full["rid"] == F.col("node"))
                     .select("node", "doc_id", "text_key", "sig"))
-    pairs = saved(candidates(classes))
+    pairs, crowds = candidates(classes)
+    pairs = saved(pairs)
 
-    # texts of the classes that are in a pair, one row a class
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(classes, "node")
+    # texts of the classes that are in a pair or a crowded run, one row a class
+    needed = pairs.select(F.explode(F.array("a", "b")).alias("node")).unionByName(crowds.select("node")).distinct().join(
+        classes, "node")
     needed = needed.select("node", F.col("doc_id").alias("_d"), F.col("text_key").alias("_k"))
     texts = saved(_texts_of(rows, needed, key))
 
@@ -253,6 +370,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
             f"l{end}", F.coalesce(f"l{end}", end))
     more = saved(confirmed(left.filter("la <> lb"), texts))
     labels = connected_components(links.unionByName(more), "a", "b")
+    rest = crowd_links(crowds, labels, texts)
+    if rest is not None:
+        labels = connected_components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(rest),
+                                      "a", "b")
 
     at = saved(groups.join(labels, "node", "left").select(
         "set_id", F.coalesce("label", "node").alias("component"), "least_doc"))

@@ -102,6 +102,24 @@ def test_components_equal_brute_force(spark):
     assert all(r["kept"] == (r["doc_id"] is not None and r["doc_id"] == r["component_id"]) for r in rows)
 
 
+@pytest.mark.parametrize("added", [True, False])
+def test_copies_that_link_to_their_template_only(spark, added):
+    from sensortracks.llm.neardup import near_duplicates
+
+    base = [f"w{i}" for i in range(104)]
+    docs = [(1, " ".join(base))]
+    for i in range(5000):  # 20 words of its own at the end, or one changed word in each of two places
+        own = base + [f"x{i}y{j}" for j in range(20)] if added else list(base)
+        if not added:
+            a, b = 6 + i % 41, 55 + i % 43
+            own[a], own[b] = f"x{i}", f"y{i}"
+        docs.append((100 + i, " ".join(own)))
+    docs += [(9_000 + i, " ".join(f"z{i}v{j}" for j in range(90))) for i in range(9)]
+    rows = near_duplicates(spark.createDataFrame(docs, "doc_id long, text string").repartition(4)).collect()
+    assert {r["doc_id"]: r["component_id"] for r in rows} == {d: 1 if d < 9_000 else d for d, _ in docs}
+    assert sum(r["kept"] for r in rows) == 10
+
+
 def test_neardup_edges(spark):
     from sensortracks.llm.neardup import deduplicated, near_duplicates
 
