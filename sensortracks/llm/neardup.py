@@ -45,7 +45,7 @@ PERCENT = 75
 TREES, STRIDE, DEPTH = 24, 4, 8
 LEAST, REACH, FIRST = 3, 3, 2
 CHUNK_BYTES = 1 << 19
-FEW, CELL_ITEMS, COLUMNS = 32, 1 << 19, 4096
+FEW, CELL_ITEMS, CELL_ROWS, COLUMNS = 32, 1 << 18, 1024, 2048
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _ODD = np.random.RandomState(20262).randint(0, 1 << 62, 512, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 _BYTE = _ODD[:256]
@@ -320,8 +320,8 @@ def crowd_links(crowds: DataFrame, labels: DataFrame, texts: DataFrame) -> DataF
     if not tied.isEmpty():
         rows = saved(sets.join(connected_components(tied, "node", "least").withColumnRenamed("label", "cluster"), "node"))
         blocks = saved(rows.groupBy("cluster").agg(
-            F.ceil(F.sum("size") / CELL_ITEMS).cast("int").alias("blocks"), F.min("label").alias("x"),
-            F.max("label").alias("y")).filter("x < y").select("cluster", "blocks"))
+            F.ceil(F.greatest(F.sum("size") / CELL_ITEMS, F.count("*") / CELL_ROWS)).cast("int").alias("blocks"),
+            F.min("label").alias("x"), F.max("label").alias("y")).filter("x < y").select("cluster", "blocks"))
         rows = rows.join(F.broadcast(blocks), "cluster").withColumn(
             "block", F.pmod(F.xxhash64("node"), "blocks").cast("int")).withColumn(
             "other", F.explode(F.expr("sequence(0, blocks - 1)")))
