@@ -1,7 +1,8 @@
 """Approximate nearest neighbours by a permutation index.
 
 A vector is represented by the order in which it sees ``PIVOTS`` pivot vectors, nearest
-first.  It is posted under its ``POSTED`` nearest pivots, in the inverted file of each.  A
+first.  Pivots are distinct and apart from each other, so that copies and near copies of one
+vector, however many, are one pivot.  It is posted under its ``POSTED`` nearest pivots, in the inverted file of each.  A
 query reads the files of its own ``POSTED`` nearest pivots, ranks what it finds there by
 the footrule distance of the two orders (places beyond ``PREFIX`` count as ``PREFIX``), and
 compares the best of them with the original vectors by exact cosine.
@@ -30,9 +31,11 @@ POSTED = 16
 PREFIX = 128
 BLOCK = 4096
 QUERIES = 4096
-DEPTH = 0.04
+DEPTH = 0.1
 LEAST = 64
 TOP = 5
+DRAWN = 16  # vectors that are looked at for each pivot
+APART = (0.9, 0.99, 0.999, 1 - 1e-9)  # cosines that pivots stay under, as long as there are enough
 
 
 def usable(vectors: DataFrame, vec_id: str, vector: str) -> DataFrame:
@@ -57,6 +60,20 @@ def _matrix(vectors) -> tuple[np.ndarray, np.ndarray]:
     return x, np.sqrt((x * x).sum(1))
 
 
+def pivots_apart(x: np.ndarray, n: int) -> np.ndarray:
+    """At most ``n`` of the unit vectors, in their order, each under a cosine of APART to all others."""
+    chosen = np.zeros(len(x), bool)
+    near = np.full(len(x), -np.inf)
+    for most in APART:
+        for i in range(len(x)):
+            if chosen.sum() == n:
+                return x[chosen]
+            if near[i] < most:
+                chosen[i] = True
+                near = np.maximum(near, x @ x[i])
+    return x[chosen]
+
+
 def search_block(ids: np.ndarray, vectors, query_ids: np.ndarray, query_vectors, pivots: np.ndarray, top: int = TOP,
                  posted: int = POSTED, prefix: int = PREFIX, depth: float = DEPTH, least: int = LEAST) -> pd.DataFrame:
     """The ``top`` rows of one block for each query: query_id, vec_id, score."""
@@ -90,7 +107,7 @@ def nearest(vectors: DataFrame, is_query, top: int = TOP, vec_id: str = "vec_id"
             n_pivots: int = PIVOTS) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``top`` nearest found of each query, ties to the smaller id.
 
-    The pivots are a sample of at most ``n_pivots`` vectors by a hash of the id.
+    The pivots are at most ``n_pivots`` of a sample of the distinct vectors by a hash of the vector.
     Defined results: unusable vectors (null, zero, with null or non-finite
     components, without id, of another length than the most) take no part; a
     repeated query id is one query; rows with the query's own id are not its neighbours; an
@@ -102,9 +119,9 @@ def nearest(vectors: DataFrame, is_query, top: int = TOP, vec_id: str = "vec_id"
     if size is None:
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     rows = rows.filter(F.size("v") == size["d"])
-    sample = rows.orderBy(F.xxhash64("vec_id"), "v").limit(n_pivots).toPandas()
-    pivots, norms = _matrix(sample["v"])
-    pivots = vectors.sparkSession.sparkContext.broadcast(pivots / norms[:, None])
+    sample = rows.select("v").distinct().orderBy(F.xxhash64("v"), "v").limit(DRAWN * n_pivots).toPandas()
+    drawn, norms = _matrix(sample["v"])
+    pivots = vectors.sparkSession.sparkContext.broadcast(pivots_apart(drawn / norms[:, None], n_pivots))
     blocks = max(1, math.ceil(size["count"] / BLOCK))
     queries = rows.filter(is_query(F.col("vec_id"))).dropDuplicates(["vec_id"])
     parts = max(1, math.ceil(queries.count() / QUERIES))

@@ -153,6 +153,28 @@ def test_recall_and_scores(spark):
     assert hits >= 0.9 * 5 * (ids % 50 == 0).sum()
 
 
+@pytest.mark.parametrize("noise", [0.0, 0.05])
+def test_recall_with_a_third_of_the_rows_as_copies(spark, noise):
+    from sensortracks.llm.permindex import nearest
+
+    rows = duckdb.sql("select vec_id, embedding from '/root/testdata/sf0.1/embeddings.parquet' order by vec_id").fetchnumpy()
+    x, ids = np.stack([np.asarray(v, float) for v in rows["embedding"]]), rows["vec_id"].astype(int)
+    rng = np.random.default_rng(3)
+    same = rng.permutation(len(x))[:len(x) // 3]
+    x[same] = x[same[0]] + noise * np.linalg.norm(x[same[0]]) / 8 * rng.standard_normal((len(same), x.shape[1]))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in zip(ids.tolist(), x, strict=True)],
+                               "vec_id long, embedding array<double>")
+    out = nearest(df, lambda c: c % 10 == 0).toPandas()
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    hits = {True: [], False: []}
+    for i in np.flatnonzero(ids % 10 == 0):
+        score = unit @ unit[i]
+        score[i] = -2
+        mine = out[out["query_id"] == ids[i]]["score"].to_numpy()
+        hits[i in same].append((mine >= np.sort(score)[-5] - 1e-9).sum() / 5)
+    assert np.mean(hits[True]) >= 0.92 and np.mean(hits[False]) >= 0.92
+
+
 def test_nearest_edges(spark):
     from sensortracks.llm.permindex import nearest
 
