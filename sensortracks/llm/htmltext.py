@@ -5,13 +5,15 @@ element.  A line's ratio is its text length over its number of tags; lines in
 elements that by their tag, class, id or role are page furniture (menus, notices,
 forms, comments ...) have ratio 0.  Ratios are smoothed with a Gaussian and split
 into two clusters; the lines above the threshold mark the content regions.  The
-content is the element that holds those regions, and all of its lines that are not
-furniture: short paragraphs of an article stay, however low their ratio.
+content is the smallest element that holds all of those regions, whatever its tag, and all of its
+lines that are not furniture: short paragraphs of an article stay, however low their ratio.  Lines
+above the threshold stay wherever they are.
 """
 
 from __future__ import annotations
 
 import math
+import os
 import re
 from html.parser import HTMLParser
 
@@ -21,7 +23,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SIGMA = 1.0
-SHARE = 0.6
 FEED_CHARS = 1 << 20
 # Elements without readable text, page furniture, block elements, elements without content.
 SILENT = frozenset("script style noscript template head title svg math iframe object canvas audio video select "
@@ -66,7 +67,6 @@ class Lines(HTMLParser):
         self.text: list[str] = []
         self.tags = 0
         self.silent: list[str] = []
-        self.articles: set[int] = set()
 
     def updatepos(self, i: int, j: int) -> int:  # line numbers of tags are not used
         return j
@@ -102,8 +102,6 @@ class Lines(HTMLParser):
         if tag in BLOCKS and tag not in INLINE_LEAF or furniture and tag not in ("html", "body"):
             self.made += 1
             self.stack.append((tag, self.made, furniture and tag not in ("html", "body", "article", "main")))
-            if tag in ("article", "main"):
-                self.articles.add(self.made)
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         if tag in VOID or tag in SILENT:
@@ -132,13 +130,13 @@ class Lines(HTMLParser):
             self.text.append(data)
 
 
-def page_lines(html: str) -> tuple[list, set]:
+def page_lines(html: str) -> list:
     parser = Lines()
     for i in range(0, len(html), FEED_CHARS):
         parser.feed(html[i:i + FEED_CHARS])
     parser.close()
     parser.flush()
-    return parser.lines, parser.articles
+    return parser.lines
 
 
 def smoothed(values: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
@@ -165,32 +163,18 @@ def threshold(values: np.ndarray) -> float:
 
 def main_text(html: str | None) -> str:
     """Blocks of the main content of a page, joined by an empty line; empty if there are none."""
-    lines, articles = page_lines(html or "")
-    kept = [(t, p) for t, _, f, p in lines if t and not f]
-    if not kept:
+    lines = page_lines(html or "")
+    if not any(t and not f for t, _, f, _ in lines):
         return ""
     ratio = np.array([0.0 if f else len(t) / max(n, 1) for t, n, f, _ in lines])
     even = smoothed(ratio)
-    marked = even > threshold(even) if even.max() > even.min() else ratio > 0
-    weight: dict[int, int] = {}
-    depth: dict[int, int] = {}
-    total = 0
-    for (text, _, furniture, path), on in zip(lines, marked, strict=True):
-        if on and text and not furniture:
-            total += len(text)
-            for d, node in enumerate(path):
-                weight[node] = weight.get(node, 0) + len(text)
-                depth[node] = d
-    if not total:
-        return "\n\n".join(t for t, _ in kept)
-    named = [n for n in articles if n in weight]
-    if named and sum(weight[n] for n in named if not any(  # an article inside another counts once
-            n in p and m in p for _, _, _, p in lines for m in named if m < n)) >= SHARE * total:
-        chosen = set(named)
-    else:
-        holds = [n for n, w in weight.items() if w >= SHARE * total]
-        chosen = {max(holds, key=lambda n: (depth[n], -n))} if holds else set()
-    return "\n\n".join(t for t, p in kept if not chosen or chosen.intersection(p))
+    cut = threshold(even) if even.max() > even.min() else 0.0
+    marked = even > cut
+    # a short line that only its neighbours lift stays, but does not widen the element
+    paths = [p for (t, _, f, p), on in zip(lines, marked & (ratio > cut), strict=True) if on and t and not f]
+    holds = os.path.commonprefix(paths)
+    return "\n\n".join(t for (t, _, f, p), on in zip(lines, marked, strict=True)
+                       if t and not f and (on or p[:len(holds)] == holds))
 
 
 def extract(pages: DataFrame, html: str = "html") -> DataFrame:

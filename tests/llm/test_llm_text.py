@@ -326,6 +326,25 @@ def test_main_text_of_odd_pages(spark):
     assert extract(df.limit(0)).count() == 0
 
 
+def test_main_text_keeps_every_region():
+    from sensortracks.llm.htmltext import main_text
+
+    menu = "".join(f"<div><a href=/{i}>Item {i}</a></div>" for i in range(12))
+    paras = [f"Paragraph {i} of the story, which goes on for a good while and says what has to be said." for i in range(20)]
+    sections = [paras[:13], paras[13:]]
+    inner = "".join("<section>" + "".join(f"<p>{x}</p>" for x in s) + "</section>" for s in sections)
+    want = "\n\n".join(["The title of it", *paras])
+    page = f"<body><div>{menu}</div><div class=post><h1>The title of it</h1>{inner}</div><div>{menu}</div></body>"
+    assert main_text(page) == want
+    page = f"<body><div>{menu}</div><div class=post><p>{' '.join(paras)}</p>{inner}</div><div>{menu}</div></body>"
+    got = main_text(page).split("\n\n")
+    assert set(got) >= {" ".join(paras), *paras} and "Item 3" not in got
+    # a second region outside <article> is content too, a short article does not decide
+    page = (f"<body><div>{menu}</div><div id=a><article><p>{paras[0]}</p><p>{paras[1]}</p><p>{paras[2]}</p></article>"
+            f"<section><p>{paras[3]}</p><p>{paras[4]}</p></section></div><div>{menu}</div></body>")
+    assert main_text(page) == "\n\n".join(paras[:5])
+
+
 def test_threshold_splits_two_clusters():
     from sensortracks.llm.htmltext import smoothed, threshold
 
