@@ -10,7 +10,8 @@ compares the best of them with the original vectors by exact cosine.
 The index lies in blocks of about ``BLOCK`` vectors, each with its inverted files; every
 query visits every block and takes from each the best ``DEPTH`` share of the block's rows by
 footrule (``LEAST`` at least), so the number that is compared grows with the data.
-Blocks are dealt by a hash of the id: copies of one vector spread over all of them.
+Blocks are dealt by a hash of the id and the row: copies of one vector, and rows of one id, spread
+over all of them.
 """
 
 from __future__ import annotations
@@ -103,6 +104,11 @@ def search_block(ids: np.ndarray, vectors, query_ids: np.ndarray, query_vectors,
     return pd.concat(out, ignore_index=True) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
 
 
+def dealt(rows: DataFrame, blocks: int) -> DataFrame:
+    """``rows`` (with the number of the row) and the block of each."""
+    return rows.withColumn("block", F.pmod(F.xxhash64("vec_id", "row"), F.lit(blocks)).cast("int"))
+
+
 def nearest(vectors: DataFrame, is_query, top: int = TOP, vec_id: str = "vec_id", vector: str = "embedding",
             n_pivots: int = PIVOTS) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``top`` nearest found of each query, ties to the smaller id.
@@ -113,7 +119,7 @@ def nearest(vectors: DataFrame, is_query, top: int = TOP, vec_id: str = "vec_id"
     repeated query id is one query; rows with the query's own id are not its neighbours; an
     empty table, or one without queries, gives an empty result.
     """
-    rows = saved(usable(vectors, vec_id, vector))
+    rows = saved(usable(vectors, vec_id, vector).withColumn("row", F.monotonically_increasing_id()))
     size = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
     schema = "query_id long, vec_id long, score double"
     if size is None:
@@ -133,8 +139,7 @@ def nearest(vectors: DataFrame, is_query, top: int = TOP, vec_id: str = "vec_id"
                             asked["v"].tolist(), pivots.value, top)
 
     numbers = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    data = rows.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")).withColumn(
-        "part", numbers(parts))
+    data = dealt(rows, blocks).withColumn("part", numbers(parts))
     asked = queries.withColumn("part", F.pmod(F.xxhash64("vec_id"), F.lit(parts)).cast("int")).withColumn(
         "block", numbers(blocks))
     found = data.groupBy("block", "part").cogroup(asked.groupBy("block", "part")).applyInPandas(cell, schema)

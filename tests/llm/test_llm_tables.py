@@ -175,6 +175,14 @@ def test_recall_with_a_third_of_the_rows_as_copies(spark, noise):
     assert np.mean(hits[True]) >= 0.92 and np.mean(hits[False]) >= 0.92
 
 
+def test_rows_of_one_id_spread_over_the_blocks(spark):
+    from sensortracks.llm.permindex import dealt
+
+    sizes = [r["count"] for r in dealt(spark.range(12_000).selectExpr("7L as vec_id", "id as row"), 3).groupBy(
+        "block").count().collect()]
+    assert len(sizes) == 3 and max(sizes) < 4400
+
+
 def test_nearest_edges(spark):
     from sensortracks.llm.permindex import nearest
 
