@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from sensortracks.llm.common import prepare, table
 
 BPE_FILE = "byte_bpe_50k.json"
+WORD_FILE = "word_bpe_49k.json"
 
 QUERIES: dict[str, Callable] = {}
 ORACLES: dict[str, str] = {}
@@ -92,11 +93,15 @@ def op1_ctw(spark, sf_dir):
     return score_documents(table(spark, sf_dir, "documents"))
 
 
-def bpe_path() -> str:
-    """The vocabulary file of the installed tokenizer package; the same on every machine."""
+def tokenizer_path(name: str) -> str:
+    """A vocabulary file of the installed tokenizer package; the same on every machine."""
     import public_tokenizers
 
-    return public_tokenizers.path(BPE_FILE)
+    return public_tokenizers.path(name)
+
+
+def bpe_path() -> str:
+    return tokenizer_path(BPE_FILE)
 
 
 @register("op6_bpe")
@@ -143,3 +148,10 @@ def op3_permindex(spark, sf_dir):
     from sensortracks.llm.permindex import nearest
 
     return nearest(table(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 50 == 0)
+
+
+@register("op13_kkpack")
+def op13_kkpack(spark, sf_dir):
+    from sensortracks.llm.kkpack import pack_documents
+
+    return pack_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path(WORD_FILE))
