@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import functions as F
 
+from sensortracks.llm import oracles
 from sensortracks.llm.common import prepare, table
 
 BPE_FILE = "byte_bpe_50k.json"
@@ -150,6 +151,14 @@ def op3_permindex(spark, sf_dir):
     return nearest(table(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 50 == 0)
 
 
+@register("op12_dsir", oracles.op12())
+def op12_dsir(spark, sf_dir):
+    from sensortracks.llm.dsir import resample
+
+    return resample(table(spark, sf_dir, "documents").select("doc_id", "text"),
+                    table(spark, sf_dir, "benchmark").select("text"))
+
+
 @register("op13_kkpack")
 def op13_kkpack(spark, sf_dir):
     from sensortracks.llm.kkpack import pack_documents
