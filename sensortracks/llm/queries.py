@@ -151,6 +151,14 @@ def op3_permindex(spark, sf_dir):
     return nearest(table(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 50 == 0)
 
 
+@register("op11_convrepair", oracles.op11())
+def op11_convrepair(spark, sf_dir):
+    from sensortracks.llm.convrepair import damaged, repair
+
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return repair(damaged(rows), rows)
+
+
 @register("op12_dsir", oracles.op12())
 def op12_dsir(spark, sf_dir):
     from sensortracks.llm.dsir import resample
