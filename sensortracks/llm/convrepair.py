@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -86,45 +87,45 @@ def _marked(rows: DataFrame) -> DataFrame:
     return both.repartitionByRange("rid").sortWithinPartitions("rid", "first")
 
 
-def _runs_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _runs_of(batches: Iterator[pd.DataFrame], run: int) -> Iterator[pd.DataFrame]:
     """Runs of one conversation's rows inside one sorted partition, with what their counts need."""
     rest = None
     for pdf in batches:
         part = pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
-        cut = _cuts(part["conv"].to_numpy(), part["first"].to_numpy())
+        cut = _cuts(part["conv"].to_numpy(), part["first"].to_numpy(), run)
         done = cut[-1] if len(cut) else 0  # the last run may go on
         if done:
-            yield _described(part.iloc[:done].reset_index(drop=True))
+            yield _described(part.iloc[:done].reset_index(drop=True), run)
         rest = part.iloc[done:].reset_index(drop=True)
     if rest is not None and len(rest):
-        yield _described(rest)
+        yield _described(rest, run)
 
 
-def _cuts(conv: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Starts of runs: where the conversation changes, and every RUN rows; never between a row and its marker."""
+def _cuts(conv: np.ndarray, first: np.ndarray, run: int) -> np.ndarray:
+    """Starts of runs: where the conversation changes, and every ``run`` rows; never between a row and its marker."""
     start = np.flatnonzero(np.r_[True, conv[1:] != conv[:-1]])
     place = np.arange(len(conv)) - np.repeat(start, np.diff(np.r_[start, len(conv)]))
-    many = np.flatnonzero((place > 0) & (place % RUN == 0))
+    many = np.flatnonzero((place > 0) & (place % run == 0))
     many = many - (first[many] == 1)  # a marker follows its row: cut before the row
     return np.unique(np.r_[start, many])
 
 
-def _described(part: pd.DataFrame) -> pd.DataFrame:
-    starts = _cuts(part["conv"].to_numpy(), part["first"].to_numpy())
+def _described(part: pd.DataFrame, run: int) -> pd.DataFrame:
+    starts = _cuts(part["conv"].to_numpy(), part["first"].to_numpy(), run)
     marker = part["first"].to_numpy() == 1
     known = np.r_[marker[1:], False][~marker]
-    run = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(part)]))[~marker]
+    of = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(part)]))[~marker]
     rows = part[~marker]
-    at = np.searchsorted(run, np.arange(len(starts)))
+    at = np.searchsorted(of, np.arange(len(starts)))
     blank, initial = rows["blank"].to_numpy(bool), rows["initial"].to_numpy(np.int64)
     again = ~blank & ~known
     cut = rows["truncated"].to_numpy(bool) & ~blank & known
     symbol = np.where(blank | again, GONE, initial * 2 + cut + 1).astype(np.uint8)
-    ill = np.r_[_illegal(initial[:-1], initial[1:]) & (run[:-1] == run[1:]), False]
+    ill = np.r_[_illegal(initial[:-1], initial[1:]) & (of[:-1] == of[1:]), False]
     null, turn = rows["timeless"].to_numpy(bool), rows["turn"].to_numpy(np.int64)
-    new = np.r_[True, (turn[1:] != turn[:-1]) | null[:-1] | (run[1:] != run[:-1])] & ~null
+    new = np.r_[True, (turn[1:] != turn[:-1]) | null[:-1] | (of[1:] != of[:-1])] & ~null
     add = lambda x: np.add.reduceat(x.astype(np.int64), at)
-    size = add(np.ones(len(run)))
+    size = add(np.ones(len(of)))
     data = symbol.tobytes()
     big = np.int64(1) << 62
     low = np.minimum.reduceat(np.where(null, big, turn), at)
@@ -374,10 +375,10 @@ _RUNS = ("conv string, rid long, symbols binary, blank long, duplicate long, tru
          "head long, tail long, low long, high long")
 
 
-def audits(rows: DataFrame) -> DataFrame:
+def audits(rows: DataFrame, run: int = RUN) -> DataFrame:
     """(conv, gaps, blank, duplicate, truncated, illegal, cost, audit) of every conversation that has rows."""
     spark = rows.sparkSession
-    runs = saved(_marked(rows).mapInPandas(_runs_of, _RUNS))
+    runs = saved(_marked(rows).mapInPandas(partial(_runs_of, run=run), _RUNS))
     several = runs.groupBy("conv").agg(F.count("*").alias("n")).filter("n > 1").select("conv", F.lit(False).alias("whole"))
     runs = saved(runs.join(several, "conv", "left").withColumn("whole", F.coalesce("whole", F.lit(True))))
     solved = saved(runs.select("symbols", "whole").distinct().repartition(
@@ -406,7 +407,7 @@ def audits(rows: DataFrame) -> DataFrame:
         F.array_join(F.transform("parts", lambda p: p["text"]), "").alias("audit")))
 
 
-def repair(rows: DataFrame, conversations: DataFrame) -> DataFrame:
+def repair(rows: DataFrame, conversations: DataFrame, run: int = RUN) -> DataFrame:
     """conv_id, gaps, blank, duplicate, truncated, illegal, cost, audit and repaired_sha256 of every
     conversation of ``conversations``, whose rows are ``rows`` (conv_id, turn, role, text).
 
@@ -418,7 +419,7 @@ def repair(rows: DataFrame, conversations: DataFrame) -> DataFrame:
     space = F.lit(" ")
     rows = rows.select("conv_id", F.col("turn").cast("long").alias("turn"), F.coalesce("role", space).alias("role"),
                        F.coalesce("text", space).alias("text"))
-    known = saved(audits(rows))
+    known = saved(audits(rows, run))
     told = known.select("conv", F.lit(0).alias("kind"), "audit", F.lit(None).cast("long").alias("turn"),
                         F.lit("").alias("role"), F.lit("").alias("text"))
     said = rows.select(_key().alias("conv"), F.lit(1).alias("kind"), F.lit("").alias("audit"), "turn", "role", "text")
