@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sensortracks.functions import geo
 from sensortracks.functions.order import identity
-from sensortracks.operators.associate import assign_pairs, gate_pairs
+from sensortracks.operators.associate import assign_pairs, assignment_faults, gate_pairs, priced_pairs
 from sensortracks.operators.common import dense_ordinal
 from sensortracks.operators.contributors import contributors_as_of
 from sensortracks.operators.lifecycle import track_lifecycle
@@ -67,6 +67,19 @@ def q_assign_pairs(spark, sf_dir):
         "tick_us", "track_id", "det_id", r("cost", 6).alias("cost"))
 
 
+@register("assignment_proof", duck.with_det(f"""
+SELECT t.tick_us, count(*) AS n_pairs, count(DISTINCT t.event_id) AS n_tracks, count(DISTINCT d.event_id) AS n_dets,
+       0::BIGINT AS faults
+FROM enu t JOIN enu d ON t.tick_us = d.tick_us
+WHERE t.source_type = 'view' AND d.source_type <> 'view'
+  AND ((d.e - t.e) * (d.e - t.e) + (d.n - t.n) * (d.n - t.n)) / (t.sigma_m * t.sigma_m + d.sigma_m * d.sigma_m) <= {GATE}
+GROUP BY t.tick_us""", _DUCK_ENU))
+def q_assignment_proof(spark, sf_dir):
+    """Prices of every gated pair prove each tick's assignment one-to-one, largest and cheapest: no faults."""
+    tracks, dets = gate_inputs(spark, sf_dir)
+    return assignment_faults(priced_pairs(gate_pairs(tracks, dets, GATE), ("tick_us",), GATE))
+
+
 def _kalman_sql() -> str:
     q = 4.0
     dt = "((b.t - k.t) / 1000000.0)"
