@@ -10,6 +10,7 @@ from sensortracks.functions import geo
 from sensortracks.functions.order import sort_structs
 from sensortracks.operators.common import running_max_before
 from sensortracks.session import checkpoint_dir
+from sensortracks.streaming.ledger import LedgerTable
 
 HISTORY_COLUMNS = ["session_id", "track_id", "status", "state_at", "last_observed_at", "lat_deg", "lon_deg",
                    "alt_m", "ve_mps", "vn_mps", "hit_count", "consecutive_misses", "contributors"]
@@ -33,21 +34,18 @@ def append_history(df: DataFrame, path: str) -> None:
      .write.mode("append").partitionBy("state_date").parquet(path))
 
 
-def history_batch_writer(path: str):
-    """E2 for streams: a ``foreachBatch`` function that writes each batch once.
+def history_table(spark, path: str) -> LedgerTable:
+    """E2 for streams: the history as a ledger table; ``history_table(...).writer()`` goes to ``foreachBatch``.
 
-    The batch id is a partition column and partitions are overwritten
-    dynamically, so a batch replayed after a failure replaces its own rows.
+    Every batch counts once, and its files are sorted by track, so that E3 skips most of a batch.
     """
-    def write(batch: DataFrame, batch_id: int) -> None:
-        batch.sparkSession.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-        (batch.withColumn("batch_id", F.lit(batch_id).cast("long"))
-         .write.mode("overwrite").partitionBy("batch_id").parquet(path))
-    return write
+    return LedgerTable(spark, path, ["track_id", "state_at"])
 
 
 def read_history(spark, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+    """The history at ``path``, however it was written."""
+    rows = history_table(spark, path).read()
+    return spark.read.parquet(path) if rows is None else rows.drop("batch_id")
 
 
 def track_history(df: DataFrame, track_id: int | None = None) -> DataFrame:
@@ -73,6 +71,29 @@ def current_tracks(df: DataFrame) -> DataFrame:
         .filter(F.col("status") != "DROPPED")
 
 
+def latest_rows(snapshots: DataFrame) -> DataFrame:
+    """E4 for streams: the latest row of every (session, track), DROPPED ones too, as a streaming
+    aggregate for update mode: a micro-batch puts out the tracks that changed."""
+    cols = [c for c in snapshots.columns if c not in ("session_id", "track_id")]
+    latest = snapshots.groupBy("session_id", "track_id").agg(F.max_by(F.struct(*cols), F.col("state_at")).alias("_r"))
+    return latest.select("session_id", "track_id", *[F.col("_r." + c).alias(c) for c in cols])
+
+
+def current_table(spark, path: str) -> LedgerTable:
+    """E4 for streams: the sink of ``latest_rows``; a later batch's row replaces the earlier ones of its track."""
+    return LedgerTable(spark, path, ["session_id", "track_id"])
+
+
+def read_current(spark, path: str) -> DataFrame | None:
+    """The live tracks after the last batch that ``current_table`` has; None before the first."""
+    rows = current_table(spark, path).read()
+    if rows is None:
+        return None
+    cols = [c for c in rows.columns if c not in ("session_id", "track_id", "batch_id")]
+    last = rows.groupBy("session_id", "track_id").agg(F.max_by(F.struct(*cols), "batch_id").alias("_r"))
+    return last.select("session_id", "track_id", *[F.col("_r." + c).alias(c) for c in cols]).filter("status <> 'DROPPED'")
+
+
 def track_delta_rows(df: DataFrame) -> DataFrame:
     """E5 as rows: every track row with the ``version`` of its (session, tick), 1, 2, ... per session.
 

@@ -47,6 +47,17 @@ def dedup_deliveries(df: DataFrame, key=("topic", "partition", "offset"),
     return first, redelivered
 
 
+def dedup_stream(df: DataFrame, delay: str, key=("topic", "partition", "offset"),
+                 arrival: str = "arrived_at") -> DataFrame:
+    """C2 for streams: the first copy of every delivery id that the stream meets, across micro-batches and restarts.
+
+    ``delay`` bounds how long after the first copy another may arrive (in time of ``arrival``);
+    ids are forgotten after it, so state holds the ids of that span only.  Rows that are
+    themselves older than the latest arrival by more than ``delay`` are dropped by the watermark.
+    """
+    return df.withWatermark(arrival, delay).dropDuplicatesWithinWatermark(list(key))
+
+
 def classify_outcomes(df: DataFrame, as_of, lateness, flush, grid_start=None,
                       tick: str = "tick", arrival: str = "arrived_at") -> DataFrame:
     """PENDING / FUSED / LATE of every (de-duplicated) delivered record.

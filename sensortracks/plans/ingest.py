@@ -100,7 +100,7 @@ def q_assign_tick(spark, sf_dir):
                     us("hour_tick").alias("hour_tick_us"))
 
 
-_DUCK_DELIVERIES = """deliv AS (
+DUCK_DELIVERIES = """deliv AS (
   SELECT *, make_timestamp(epoch_us(received_at) + 5000) AS arrived_at FROM det
   UNION ALL
   SELECT *, make_timestamp(epoch_us(received_at) + 255000) AS arrived_at FROM det WHERE event_id % 17 = 0)"""
@@ -109,7 +109,7 @@ _DUCK_DELIVERIES = """deliv AS (
 @register("dedup_deliveries", duck.with_det("""
 SELECT topic, "partition"::BIGINT AS "partition", "offset", event_id, epoch_us(arrived_at) AS arrived_us
 FROM (SELECT *, row_number() OVER (PARTITION BY topic, "partition", "offset" ORDER BY arrived_at) AS rn
-      FROM deliv) WHERE rn = 1""", _DUCK_DELIVERIES))
+      FROM deliv) WHERE rn = 1""", DUCK_DELIVERIES))
 def q_dedup(spark, sf_dir):
     first, _ = dedup_deliveries(events_as_deliveries(spark, sf_dir))
     return first.select("topic", F.col("partition").cast("long").alias("partition"), "offset",
@@ -119,7 +119,7 @@ def q_dedup(spark, sf_dir):
 @register("redelivery_counts", duck.with_det("""
 SELECT source_type, source_id, sum(c - 1)::BIGINT AS redelivered FROM (
   SELECT source_type, source_id, count(*) AS c FROM deliv GROUP BY topic, "partition", "offset", source_type, source_id
-) WHERE c > 1 GROUP BY source_type, source_id""", _DUCK_DELIVERIES))
+) WHERE c > 1 GROUP BY source_type, source_id""", DUCK_DELIVERIES))
 def q_redelivery(spark, sf_dir):
     _, again = dedup_deliveries(events_as_deliveries(spark, sf_dir))
     return again.groupBy("source_type", "source_id").agg(
@@ -139,7 +139,7 @@ def outcome_as_of(spark, sf_dir):
     return F.timestamp_micros(F.unix_micros(F.lit("2024-01-30 12:00:00").cast("timestamp")))
 
 
-DUCK_OUTCOMES = _DUCK_DELIVERIES + f""",
+DUCK_OUTCOMES = DUCK_DELIVERIES + f""",
 firsts AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY topic, "partition", "offset" ORDER BY arrived_at) AS rn
            FROM deliv) WHERE rn = 1),
 g AS (SELECT event_id, received_at,

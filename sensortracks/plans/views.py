@@ -16,21 +16,21 @@ from sensortracks.sources.testdata import (
     DUCK_HISTORY, ORIGIN, events_as_detections, events_as_history, events_as_stage_events)
 
 _E, _N, _U = duck.enu("lat_deg", "lon_deg", "alt_m")
-_HIST = DUCK_HISTORY.format(desc=duck.CANONICAL_DESC, tick=duck.tick_us("observed_at", 3_600_000_000),
+DUCK_HIST = DUCK_HISTORY.format(desc=duck.CANONICAL_DESC, tick=duck.tick_us("observed_at", 3_600_000_000),
                             entries=duck.attr_entries(), e=_E, n=_N)
 _LAT, _LON, _ = duck.geodetic("east_m", "north_m", "0.0::DOUBLE")
 
 
 @register("track_view", duck.with_det(f"""
 SELECT session_id, track_id, state_us, {duck.rnd(_LAT, 7)} AS lat_deg, {duck.rnd(_LON, 7)} AS lon_deg, alt_m
-FROM hist""", _HIST))
+FROM hist""", DUCK_HIST))
 def q_track_view(spark, sf_dir):
     v = tables.track_view(events_as_history(spark, sf_dir), ORIGIN)
     return v.select("session_id", "track_id", us("state_at").alias("state_us"),
                     r("lat_deg", 7).alias("lat_deg"), r("lon_deg", 7).alias("lon_deg"), "alt_m")
 
 
-@register("append_history", duck.with_det("SELECT session_id, track_id, state_us, status FROM hist", _HIST))
+@register("append_history", duck.with_det("SELECT session_id, track_id, state_us, status FROM hist", DUCK_HIST))
 def q_append_history(spark, sf_dir):
     path = f"{checkpoint_dir(spark).rstrip('/')}/history-{uuid.uuid4().hex}"
     tables.append_history(tables.track_view(events_as_history(spark, sf_dir), ORIGIN), path)
@@ -40,20 +40,20 @@ def q_append_history(spark, sf_dir):
 
 @register("track_history", duck.with_det("""
 SELECT track_id, row_number() OVER (PARTITION BY track_id ORDER BY state_us, session_id) AS seq,
-       state_us, session_id FROM hist""", _HIST))
+       state_us, session_id FROM hist""", DUCK_HIST))
 def q_track_history(spark, sf_dir):
     h = tables.track_history(events_as_history(spark, sf_dir))
     return h.select("track_id", "seq", us("state_at").alias("state_us"),
                     "session_id")
 
 
-_CURRENT = """cur AS (SELECT * FROM (
+DUCK_CURRENT = """cur AS (SELECT * FROM (
     SELECT *, row_number() OVER (PARTITION BY session_id, track_id ORDER BY state_us DESC) AS rn FROM hist)
   WHERE rn = 1 AND status <> 'DROPPED')"""
 
 
 @register("current_tracks", duck.with_det("SELECT session_id, track_id, status, state_us FROM cur",
-                                          _HIST + ",\n" + _CURRENT))
+                                          DUCK_HIST + ",\n" + DUCK_CURRENT))
 def q_current(spark, sf_dir):
     c = tables.current_tracks(events_as_history(spark, sf_dir))
     return c.select("session_id", "track_id", "status", us("state_at").alias("state_us"))
@@ -67,7 +67,7 @@ _DELTAS = """deltas AS (
 
 @register("track_deltas", duck.with_det(
     "SELECT session_id, version, state_us AS tick_us, n_tracks, track_ids FROM deltas",
-    _HIST + ",\n" + _DELTAS))
+    DUCK_HIST + ",\n" + _DELTAS))
 def q_deltas(spark, sf_dir):
     d = tables.track_deltas(events_as_history(spark, sf_dir))
     return d.select("session_id", "version", us("state_at").alias("tick_us"),
@@ -102,7 +102,7 @@ SELECT h.track_id, h.status, h.state_us FROM (
     AND h.track_id NOT IN (
       SELECT h2.track_id FROM acc a2 JOIN hist h2 ON h2.session_id = a2.session_id AND h2.state_us = a2.state_us
       WHERE a2.seq > (SELECT max(seq) FROM acc WHERE snapshot) AND NOT a2.snapshot)
-) h WHERE h.status <> 'DROPPED'""", _HIST + ",\n" + _DELTAS + """,
+) h WHERE h.status <> 'DROPPED'""", DUCK_HIST + ",\n" + _DELTAS + """,
 ev AS (
   SELECT session_id, version, state_us,
          substr(session_id, 2)::BIGINT * 1000000 + version * 10 AS seq, version % 24 = 0 AS snapshot FROM deltas
@@ -124,7 +124,7 @@ def q_apply_events(spark, sf_dir):
 SELECT session_id, track_id, 'T' || track_id::VARCHAR AS label, status,
        CASE WHEN n_types > 1 THEN 'FUSED' ELSE least_type END AS source_type, n_types AS source_count,
        {duck.rnd(_LAT, 7)} AS lat_deg, {duck.rnd(_LON, 7)} AS lon_deg
-FROM cur""", _HIST + ",\n" + _CURRENT))
+FROM cur""", DUCK_HIST + ",\n" + DUCK_CURRENT))
 def q_geojson(spark, sf_dir):
     cur = tables.current_tracks(events_as_history(spark, sf_dir))
     v = tables.track_view(cur, ORIGIN)
@@ -138,7 +138,7 @@ def q_geojson(spark, sf_dir):
 
 @register("track_summary", duck.with_det("""
 SELECT session_id, count(*) AS active, count(*) FILTER (WHERE status = 'CONFIRMED') AS confirmed
-FROM cur GROUP BY session_id""", _HIST + ",\n" + _CURRENT))
+FROM cur GROUP BY session_id""", DUCK_HIST + ",\n" + DUCK_CURRENT))
 def q_summary(spark, sf_dir):
     return tables.track_summary(tables.current_tracks(events_as_history(spark, sf_dir)))
 
@@ -288,7 +288,7 @@ def q_reduction(spark, sf_dir):
     return evaluate.duplicate_reduction(pairs, truths, d.select("source_type"))
 
 
-_DUCK_CREDIT = _HIST + """,
+_DUCK_CREDIT = DUCK_HIST + """,
 grp AS (SELECT *, row_number() OVER (PARTITION BY source_type, source_id, user_id, tick_us ORDER BY """ + \
     duck.CANONICAL_DESC + """) AS grn
         FROM (SELECT *, """ + duck.tick_us("observed_at", 3_600_000_000) + """ AS tick_us, """ + duck.attr_entries() + \
