@@ -22,39 +22,42 @@ import math
 import os
 import re
 import zlib
-from array import array
 from collections.abc import Iterator
-from itertools import chain
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
+import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sensortracks.llm.common import runs
+from sensortracks.llm.bpe import byte_letters
 
 TOKENS = 2048
 GROUP = 4096
 SLACK = 256
 SPARE = 32
 END = 1  # fixed value: the id that closes a document
-CACHE = 500_000
-CHARS = 1 << 20
+CACHE = 100_000
 COLUMNS = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
-# The separators of chunks; no token of the file's model spans white space.
+# The file's pattern, where a text has only the characters of ``ODD``'s complement. These are
+# in normal form, have one small letter each, and their class (letter, digit, other) is the same in every Unicode version.
 CHUNK = re.compile("[^\\x20\\x09-\\x0D]+")
-PLAIN = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f]+[.,]?")
+LETTERS = "a-zA-Z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u0177"
+ODD = re.compile(f"[^\\x20-\\x7E\\x09-\\x0D\u2010-\u2027{LETTERS}]|<\\|")
+TOKEN = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[0-9]|[^\\x20\\x09-\\x0D0-9{LETTERS}]+")
 
 
-class _Chunks(dict):
-    """chunk between white space -> its ids as bytes; texts share chunks, so each is encoded once.
+class Ids:
+    """Ids of a tokenizer file whose words end in a mark of their own.
 
-    A word of plain letters with a full stop or comma is two tokens of the file's pattern
-    for sure, and letters lose their case, so such chunks share the ids of their word.
+    Merges are in the order of their ids, so the file's tokens serve as the ranks of a
+    compiled encoder; the end of a word is the byte 0, which ordinary text does not hold, and joins the
+    word's last byte before any merge.  Chunks between white space that hold an odd
+    character (or may hold a special token) go to the tokenizer itself, one by one, and are kept.
     """
 
     def __init__(self, path: str):
-        super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -63,41 +66,45 @@ class _Chunks(dict):
         self.tokenizer.no_padding()
         if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("ids are kept in two bytes")
-        self.words: dict[str, bytes] = {}
-
-    def learn(self, chunks: set[str]) -> None:
-        """Know the ids of all ``chunks``."""
-        if len(self) > CACHE:
-            self.clear()
-            self.words.clear()
-        parts = {c: _parts(c) for c in chunks if c not in self}
-        new = list({w for p in parts.values() for w in p if w not in self.words})
-        for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.words[w] = array("H", e.ids).tobytes()
-        for c, p in parts.items():
-            self[c] = b"".join([self.words[w] for w in p])
-
-
-def _parts(chunk: str) -> list[str]:
-    if not PLAIN.fullmatch(chunk):
-        return [chunk]
-    word = chunk.rstrip(".,")
-    return [word.lower()] if word == chunk else [word.lower(), chunk[-1]]
-
-
-_IDS: dict[str, _Chunks] = {}
+        letters, mark = byte_letters(), "</w>"
+        ranks = {}
+        for token, i in self.tokenizer.get_vocab(with_added_tokens=False).items():
+            word = token.removesuffix(mark)
+            if all(c in letters for c in word):
+                ranks[bytes(letters[c] for c in word) + b"\0" * (word != token)] = i
+        self.enc = tiktoken.Encoding("words", pat_str="[^\\x00]+\\x00", mergeable_ranks=ranks, special_tokens={})
+        self.odd: dict[str, np.ndarray] = {}
+
+    def _plain(self, text: str) -> np.ndarray:
+        words = TOKEN.findall(text.lower())
+        return self.enc.encode_to_numpy("\0".join([*words, ""]), disallowed_special=()).astype("<u2")
+
+    def _odd(self, chunk: str) -> np.ndarray:
+        if chunk not in self.odd:
+            if len(self.odd) > CACHE:
+                self.odd.clear()
+            self.odd[chunk] = np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, "<u2")
+        return self.odd[chunk]
+
+    def __call__(self, text: str) -> np.ndarray:
+        if not ODD.search(text):
+            return self._plain(text)
+        parts = groupby(CHUNK.findall(text), key=lambda c: ODD.search(c) is not None)
+        out = [np.zeros(0, "<u2")]
+        for odd, chunks in parts:
+            out += [self._odd(c) for c in chunks] if odd else [self._plain(" ".join(chunks))]
+        return np.concatenate(out)
+
+
+_IDS: dict[str, Ids] = {}
 
 
 def ids_of(texts: list[str | None], path: str) -> Iterator[bytes]:
     """The ids of each text (null: empty) and the closing id, as little-endian unsigned 16-bit integers."""
     if path not in _IDS:
-        _IDS[path] = _Chunks(path)
-    known, end = _IDS[path], np.array([END], "<u2").tobytes()
-    for a, b in runs([len(t or "") for t in texts], CHARS):
-        found = [CHUNK.findall(t or "") for t in texts[a:b]]
-        known.learn(set(chain.from_iterable(found)))
-        for chunks in found:
-            yield b"".join(map(known.__getitem__, chunks)) + end
+        _IDS[path] = Ids(path)
+    for text in texts:
+        yield np.append(_IDS[path](text or ""), np.array([END], "<u2")).tobytes()
 
 
 def _crc(ids: bytes) -> int:
