@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sensortracks.llm.common import runs
+from sensortracks.llm.common import runs, saved
 from sensortracks.operators.common import with_ordinal
 
 BUCKETS = 10_000
@@ -40,6 +40,7 @@ SENTINEL = b"\x00"
 # A-Z become a-z; words are runs of digits, a-z and bytes of non-ASCII characters.
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
+_INSIDE = np.array([WORD.match(bytes([b])) is not None for b in range(256)])
 REACH = 64
 
 
@@ -93,12 +94,9 @@ def features(texts: list[str | None], buckets: int = BUCKETS) -> tuple[np.ndarra
     joined = SENTINEL.join(data).translate(LOWER)
     ends = np.cumsum([len(d) + 1 for d in data])
     words = _Words()
-    starts, number = [], []
-    for m in WORD.finditer(joined):
-        starts.append(m.start())
-        number.append(words[m.group()])
-    number = np.array(number, np.int64)
-    owner = np.searchsorted(ends, np.array(starts, np.int64), side="right")
+    number = np.fromiter(map(words.__getitem__, WORD.findall(joined)), np.int64)
+    inside = _INSIDE[np.frombuffer(joined, np.uint8)]
+    owner = np.searchsorted(ends, np.flatnonzero(inside & ~np.r_[False, inside[:-1]]), side="right")
     crc, size = np.array(words.crc, np.uint32)[number], np.array(words.size, np.int64)[number]
     out, gram = [], crc
     for n in range(1, GRAMS + 1):
@@ -176,7 +174,8 @@ def resample(docs: DataFrame, target: DataFrame, text: str = "text", percent: in
     every bucket one virtual feature; an empty table gives an empty result.  Other columns of
     ``docs`` are not read.
     """
-    scored = weighted(docs, gains(docs, target, text, buckets), text, seed)
+    # saved: the sort reads its input twice
+    scored = saved(weighted(docs, gains(docs, target, text, buckets), text, seed))
     scored = scored.withColumn("able", F.col("n_words") >= least_words).withColumn("row", F.monotonically_increasing_id())
     placed = with_ordinal(scored, [F.desc("able"), F.desc("score"), F.asc_nulls_last("doc_id"), F.desc("weight"),
                                    F.desc("n_features"), F.asc("row")], "place")
