@@ -14,12 +14,12 @@ the rows next to a partition's ends are paired in a second, small step.
 
 Pairs whose signatures agree in less than half of their values are dropped (links
 agree in three quarters, 5.7 standard deviations more).  All others are confirmed on
-full sets: 100 * common >= 75 * union.  Confirmation goes in two rounds: each class's ``FIRST``
-likeliest pairs, then every pair that still joins two components; a pair inside a
-component cannot change the result.
+full sets: 100 * common >= 75 * union.  Confirmation goes in two rounds: each class's
+likeliest pair to a smaller and to a larger class, then every pair that still joins two components; a
+pair inside a component cannot change the result.
 
-Where more rows than a row meets share ``LEAST`` values (a crowded run), links may lie
-outside the met pairs: a template's copies that link to the template only.  The rows of
+Where more rows than a row meets share ``LEAST`` values (a crowded run), each row is paired with the next
+one only, and links may lie outside these pairs: a template's copies that link to the template only.  The rows of
 crowded runs that lie in more than one component go through an exact join, which has no cap:
 two sets with a link share one of their rarest quarter of shingles.  Shingles in up to
 ``FEW`` of these rarest quarters are joined pair by pair, with the length and position filters;
@@ -43,7 +43,7 @@ from sensortracks.operators.graph import connected_components
 WORDS = 5
 PERCENT = 75
 TREES, STRIDE, DEPTH = 24, 4, 8
-LEAST, REACH, FIRST = 3, 3, 2
+LEAST, REACH = 3, 3
 CHUNK_BYTES = 1 << 19
 FEW, CELL_ITEMS, CELL_ROWS, COLUMNS = 32, 1 << 18, 1024, 2048
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -139,21 +139,34 @@ def _orders(classes: DataFrame) -> DataFrame:
 
 
 def _pairs(tree: np.ndarray, key: np.ndarray, node: np.ndarray) -> pd.DataFrame:
-    """Pairs of sorted rows at most REACH apart that share at least LEAST values."""
+    """Pairs of sorted rows at most REACH apart that share at least LEAST values.
+
+    A row of a crowded run meets its next row only: links that this misses are
+    found by the exact join of such runs, so more pairs here would be work twice.
+    """
     a, b = [], []
+    crowd = np.zeros(len(node), bool)
+    crowd[_crowd_rows(tree, key)] = True
     for lag in range(1, REACH + 1):
         same = (key[:-lag, :LEAST] == key[lag:, :LEAST]).all(1) & (tree[:-lag] == tree[lag:])
+        if lag > 1:
+            same &= ~(crowd[:-lag] & crowd[lag:])
         a.append(node[:-lag][same])
         b.append(node[lag:][same])
     a, b = np.concatenate(a), np.concatenate(b)
     return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
 
-def _crowded(tree: np.ndarray, key: np.ndarray, node: np.ndarray) -> pd.DataFrame:
-    """Rows of runs of more than REACH + 1 sorted rows that share at least LEAST values, with the shared values."""
+def _crowd_rows(tree: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """Places of the rows in runs of more than REACH + 1 sorted rows that share at least LEAST values."""
     far = REACH + 1
     same = (key[:-far, :LEAST] == key[far:, :LEAST]).all(1) & (tree[:-far] == tree[far:])
-    i = np.unique(np.flatnonzero(same)[:, None] + np.arange(far + 1))
+    return np.unique(np.flatnonzero(same)[:, None] + np.arange(far + 1))
+
+
+def _crowded(tree: np.ndarray, key: np.ndarray, node: np.ndarray) -> pd.DataFrame:
+    """Rows of crowded runs, with the shared values."""
+    i = _crowd_rows(tree, key)
     return pd.DataFrame({"a": node[i], "b": node[i], "tree": tree[i], "key": [k.tobytes() for k in key[i, :LEAST]]})
 
 
@@ -354,14 +367,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     pairs = saved(pairs)
 
     # texts of the classes that are in a pair or a crowded run, one row a class
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("node")).unionByName(crowds.select("node")).distinct().join(
-        classes, "node")
+    needed = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).unionByName(
+        crowds.select("node")).distinct().join(classes, "node")
     needed = needed.select("node", F.col("doc_id").alias("_d"), F.col("text_key").alias("_k"))
     texts = saved(_texts_of(rows, needed, key))
 
-    ends = pairs.select("a", "b", "agree", F.explode(F.array("a", "b")).alias("end"))
-    likely = Window.partitionBy("end").orderBy(F.desc("agree"), F.xxhash64("a", "b"))
-    first = ends.withColumn("_n", F.row_number().over(likely)).filter(F.col("_n") <= FIRST).select("a", "b").distinct()
+    likely = F.struct("agree", F.xxhash64("a", "b"))
+    above = pairs.groupBy("a").agg(F.max_by("b", likely).alias("b"))
+    below = pairs.groupBy("b").agg(F.max_by("a", likely).alias("a"))
+    first = saved(above.unionByName(below).distinct())
     links = saved(confirmed(first, texts))
     labels = connected_components(links, "a", "b")
     left = pairs.select("a", "b").join(first, ["a", "b"], "left_anti")
