@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sensortracks.functions.order import ORDER_COLUMNS, canonical_key, canonical_order, identity
-from sensortracks.operators.common import ceil_div, floor_to, interval_us, micros, running_max_before
+from sensortracks.operators.common import ceil_div, floor_to, interval_us, micros, running_max_before, with_ordinal
 from sensortracks.schema import DETECTION_COLUMNS
 
 
@@ -108,6 +108,9 @@ def coalesce_detections(df: DataFrame, tick: str = "tick") -> DataFrame:
     return loose.unionByName(kept.select(*loose.columns))
 
 
-def order_detections(df: DataFrame) -> DataFrame:
-    """The deterministic total order of detections (a range-partitioned sort)."""
-    return df.orderBy(*canonical_order())
+def order_detections(df: DataFrame, ordinal: str | None = None) -> DataFrame:
+    """The deterministic total order of detections (a range-partitioned sort).
+
+    ``ordinal`` names a column for each row's place in it, from 1 (see ``with_ordinal``).
+    """
+    return with_ordinal(df, canonical_order(), ordinal) if ordinal else df.orderBy(*canonical_order())

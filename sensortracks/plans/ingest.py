@@ -6,10 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sensortracks.functions import geo
-from sensortracks.functions.order import canonical_order, identity
-from sensortracks.operators.common import with_ordinal
+from sensortracks.functions.order import identity
 from sensortracks.operators.ticks import (
-    assign_tick, classify_outcomes, coalesce_detections, dedup_deliveries)
+    assign_tick, classify_outcomes, coalesce_detections, dedup_deliveries, order_detections)
 from sensortracks.operators.validate import validate_detections
 from sensortracks.plans import duck
 from sensortracks.plans.registry import r, register, us
@@ -181,8 +180,7 @@ def q_coalesce(spark, sf_dir):
 SELECT event_id, row_number() OVER (ORDER BY {duck.CANONICAL_ASC}) AS ordinal
 FROM (SELECT *, {duck.attr_entries()} AS attr_entries FROM det)"""))
 def q_order(spark, sf_dir):
-    d = events_as_detections(spark, sf_dir)
-    return with_ordinal(d, canonical_order(), "ordinal").select("event_id", "ordinal")
+    return order_detections(events_as_detections(spark, sf_dir), "ordinal").select("event_id", "ordinal")
 
 
 _E, _N, _U = duck.enu("lat_deg", "lon_deg", "alt_m")
