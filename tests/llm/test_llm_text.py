@@ -345,6 +345,77 @@ def test_main_text_keeps_every_region():
     assert main_text(page) == "\n\n".join(paras[:5])
 
 
+def plain_main_text(lines, names):
+    """The method again, with loops: ratios, smoothing, two means, region, names."""
+    def low(p):
+        return any(n in names for n in p)
+
+    ratio = [0.0 if f else len(t) / max(n, 1) * (0.1 if low(p) else 1) for t, n, f, p in lines]
+    even = []
+    for i in range(len(ratio)):
+        w = {j: math.exp(-((i - j) ** 2) / 2) for j in range(max(0, i - 3), min(len(ratio), i + 4))}
+        even.append(sum(w[j] * ratio[j] for j in w) / sum(w.values()))
+    means, cut = (min(even), max(even)), 0.0
+    while means[0] < means[1]:
+        cut = sum(means) / 2
+        sides = [[x for x in even if x <= cut], [x for x in even if x > cut]]
+        if not all(sides) or (new := tuple(sum(s) / len(s) for s in sides)) == means:
+            break
+        means = new
+    marked = [k for k, (t, _, f, _) in enumerate(lines) if t and not f and even[k] > cut and ratio[k] > cut]
+    marked = [k for k in marked if not low(lines[k][3])] or marked
+    paths = [lines[k][3] for k in marked]
+    holds = paths[0] if paths else ()
+    while any(p[:len(holds)] != holds for p in paths):
+        holds = holds[:-1]
+    if paths and not holds and all(paths):
+        chars = {top: sum(len(lines[k][0]) for k in marked if lines[k][3][0] == top) for top in {p[0] for p in paths}}
+        best = max(chars, key=chars.get)
+        alone = all(sum(bool(t and not f and p[:1] == (top,)) for t, _, f, p in lines) == 1 for top in chars if top != best)
+        if chars[best] > sum(chars.values()) / 2 and alone:
+            paths = [p for p in paths if p[0] == best]
+            holds = paths[0]
+            while any(p[:len(holds)] != holds for p in paths):
+                holds = holds[:-1]
+    return "\n\n".join(t for t, _, f, p in lines if t and not f and p[:len(holds)] == holds and not low(p[len(holds):]))
+
+
+def unnamed(page):
+    """A page without class, id and role, whose furniture tags are plain boxes."""
+    return re.sub(r"<(/?)(nav|footer|header|aside|form)\b", r"<\1div", re.sub(r' (class|id|role)="[^"]*"', "", page))
+
+
+def test_main_text_is_its_method(spark):
+    from sensortracks.llm.htmltext import main_text, page_lines
+
+    pages = [r["html"] for r in spark.read.parquet(f"{SF}/pages.parquet").collect()]
+    for page in pages + [unnamed(p) for p in pages]:
+        assert main_text(page) == plain_main_text(*page_lines(page))
+
+
+def test_clusters_choose_the_content(spark, monkeypatch):
+    from sensortracks.llm import htmltext
+
+    pages = [r["html"] for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()]
+    want = [htmltext.main_text(p) for p in pages]
+    right = sum(htmltext.main_text(unnamed(p)) == w for p, w in zip(pages, want, strict=True))
+    assert right >= 0.98 * len(pages)
+    monkeypatch.setattr(htmltext, "threshold", lambda values: -1.0)  # clusters off: every line is marked
+    assert sum(htmltext.main_text(unnamed(p)) == w for p, w in zip(pages, want, strict=True)) < 0.02 * len(pages)
+
+
+def test_names_are_evidence_only():
+    from sensortracks.llm.htmltext import main_text
+
+    body = "<h1>The title</h1><p>Some text of the story that is long enough to be read.</p><p>Ok.</p>"
+    want = "The title\n\nSome text of the story that is long enough to be read.\n\nOk."
+    for name in ("share-price-story", "notice-of-meeting", "notice", "promo box"):
+        assert main_text(f'<nav><li>a</nav><div class="{name}">{body}</div><footer>x y z</footer>') == want
+    for name in ("ad", "site-footer", "share-buttons", "cookie-notice", "newsletter signup"):
+        page = f'<div>{body}<div class="{name}"><p>Text that is as long as the story, or longer even, by far.</p></div></div>'
+        assert main_text(page) == want
+
+
 def test_threshold_splits_two_clusters():
     from sensortracks.llm.htmltext import smoothed, threshold
 
