@@ -27,7 +27,7 @@ from sensortracks.llm.bpe import PATTERN, encoder
 from sensortracks.llm.common import saved
 
 TOKENS = 1024
-DOCS = 256
+DOCS = TOKENS  # as many as the tokens of a sequence can hold
 GROUP = 8192
 ROUNDS = 2
 SPARE = 0.01

@@ -218,6 +218,14 @@ def test_best_fit_keeps_every_constraint(rule):
         assert bins.max() + 1 <= 1.02 * n.sum() / 100 + 1
 
 
+def test_tiny_texts_fill_their_sequences(spark):
+    from sensortracks.llm.pack import pack_documents
+
+    out = pack_documents(spark.range(8000).selectExpr("id AS doc_id", "CAST(NULL AS STRING) AS text"), BPE).toPandas()
+    assert (out["length"] == 1).all() and out["sequence_id"].nunique() == 8
+    assert out.groupby("sequence_id")["offset"].agg(lambda x: sorted(x) == list(range(len(x)))).all()
+
+
 def test_pieces_and_sequences(spark):
     from sensortracks.llm.pack import pack, pack_documents
 
