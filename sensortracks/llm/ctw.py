@@ -13,7 +13,7 @@ level by level with grouped sums.  The learned weights are then fixed: a text's
 probability is the product over its bytes of the mixture's conditional
 probabilities, so every text is scored by the same model whatever the order.
 
-The table of grams (distinct 5-byte windows) and that of words grow with the corpus and stay
+The table of grams (distinct windows of DEPTH + 1 bytes) and that of words grow with the corpus and stay
 distributed.  Only the most frequent entries of each (``TOP_WORDS``, ``TOP_GRAMS``) go to every task, a
 bound on memory, not on results: other entries of a text leave the task as rows and
 meet their values in a join.  Frequent keys never reach that join, so it has no hot key.
@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from sensortracks.llm.common import held_out, merged, runs, written
 from sensortracks.session import discard
 
-DEPTH = 4
+DEPTH = 5
 TOP_WORDS = 1 << 18
 TOP_GRAMS = 1 << 18
 CHUNK_BYTES = 1 << 20
