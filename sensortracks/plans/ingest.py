@@ -39,7 +39,7 @@ def raw_event_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         (val % 60 - 10).alias("speed_mps"),
         F.when(eid % 5 != 0, (eid % 400).cast("double")).alias("heading_deg"),
         ((uid % 7) * 5).cast("double").alias("sigma_m"),
-        F.create_map(F.lit("k"), F.get_json_object("props", "$.k")).alias("attributes"),
+        F.create_map(F.lit("k"), F.when(eid % 31 != 0, F.get_json_object("props", "$.k"))).alias("attributes"),
     )
 
 
@@ -54,6 +54,7 @@ _RULES_SQL = [
   ("speed_mps IS NOT NULL AND NOT (speed_mps >= 0)", 'speed_not_positive'),
   ("heading_deg IS NOT NULL AND NOT (heading_deg >= 0 AND heading_deg < 360)", 'heading_outside'),
   ("NOT (sigma_m > 0)", 'sigma_not_positive'),
+  ("attribute_k IS NULL", 'attribute_null'),
 ]
 _RAW_SQL = """raw AS (
   SELECT event_id,
@@ -66,7 +67,8 @@ _RAW_SQL = """raw AS (
          CASE WHEN user_id % 3 = 0 THEN 'NaN'::DOUBLE WHEN user_id % 3 = 1 THEN user_id::DOUBLE END AS alt_m,
          value % 60 - 10 AS speed_mps,
          CASE WHEN event_id % 5 <> 0 THEN (event_id % 400)::DOUBLE END AS heading_deg,
-         ((user_id % 7) * 5)::DOUBLE AS sigma_m
+         ((user_id % 7) * 5)::DOUBLE AS sigma_m,
+         CASE WHEN event_id % 31 <> 0 THEN json_extract_string(props, '$.k') END AS attribute_k
   FROM events)"""
 _N_SQL = " + ".join(f"(CASE WHEN {c} THEN 1 ELSE 0 END)" for c, _ in _RULES_SQL)
 _MSG_SQL = ", ".join(f"CASE WHEN {c} THEN '{m}' END" for c, m in _RULES_SQL)
