@@ -23,6 +23,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sensortracks.llm.common import free_name, runs
+
 # The byte-level pattern of this vocabulary, with white space by its Unicode property.
 PATTERN = (r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+"
            r"|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+")
@@ -274,8 +276,6 @@ def encoder(path: str) -> Encoder:
 
 
 def groups_of_texts(texts: list, chars: int = 1 << 20) -> Iterator[list]:
-    from sensortracks.llm.common import runs
-
     for a, b in runs([len(t or "") for t in texts], chars):
         yield texts[a:b]
 
@@ -285,7 +285,8 @@ def encode_decode(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
 
     Defined results: a null or empty text has no ids and decodes to the empty text;
     special tokens of the vocabulary that stand in a text become their ids, as the
-    library does by default.  Columns named like a result column are replaced.
+    library does by default; repeated rows each get their own, equal result; an empty
+    table gives an empty result.  Columns named like a result column are replaced, all others stay.
     """
     @F.pandas_udf("ids binary, n_tokens long, decoded string")
     def coded(texts: pd.Series) -> pd.DataFrame:
@@ -296,7 +297,8 @@ def encode_decode(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
 
     names = ("ids", "n_tokens", "decoded")
     docs = docs.drop(*[c for c in docs.columns if c.lower() in names])
-    return docs.withColumn("_c", coded(F.col(text))).select(*docs.columns, *[F.col(f"_c.{n}").alias(n) for n in names])
+    c = free_name(docs, "_c")
+    return docs.withColumn(c, coded(F.col(text))).select(*docs.columns, *[F.col(c)[n].alias(n) for n in names])
 
 
 def digests(docs: DataFrame, path: str) -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sensortracks.llm.common import held_out, merged, runs
+from sensortracks.llm.common import free_name, held_out, merged, runs
 
 PROFILE = 400
 CHUNK_CHARS = 1 << 20
@@ -139,7 +139,8 @@ def identify(docs: DataFrame, profiles: DataFrame, text: str = "text", size: int
     The profiles (languages x ``size`` rows) go to every task.  Defined results:
     ``und`` and 0 for a null text or one without a letter, or if no language was
     learned; ties go to the language first in the alphabet; each repeated row gets
-    its own, equal result.  Columns named lang_pred or score are replaced.
+    its own, equal result; an empty table gives an empty result.  Columns named
+    lang_pred or score are replaced, all others stay.
     """
     docs = docs.drop(*[c for c in docs.columns if c.lower() in ("lang_pred", "score")])
     model = Profiles(profiles.toPandas(), size)
@@ -148,8 +149,9 @@ def identify(docs: DataFrame, profiles: DataFrame, text: str = "text", size: int
     def predicted(texts: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([model.predict(t) for t in texts], columns=["lang_pred", "score"])
 
-    return docs.withColumn("_p", predicted(F.col(text))).select(
-        *docs.columns, F.col("_p.lang_pred").alias("lang_pred"), F.col("_p.score").alias("score"))
+    p = free_name(docs, "_p")
+    return docs.withColumn(p, predicted(F.col(text))).select(
+        *docs.columns, F.col(p)["lang_pred"].alias("lang_pred"), F.col(p)["score"].alias("score"))
 
 
 def identify_documents(docs: DataFrame) -> DataFrame:

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sensortracks.llm.common import runs, saved
+from sensortracks.llm.common import free_name, runs, saved
 from sensortracks.operators.graph import connected_components
 
 WORDS = 5
@@ -416,12 +416,17 @@ def _texts_of(rows: DataFrame, needed: DataFrame, key) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that are the first of their group, with all their columns."""
+    """The rows of ``docs`` that are the first of their group, with all their columns.
+
+    Defined results: null, empty and blank texts are linked with nothing and stay, once per
+    document id and text; of repeated rows one stays; an empty table gives an empty result.
+    """
+    kd, kt, kn = (free_name(docs, x) for x in ("_kd", "_kt", "_kn"))
     dropped = near_duplicates(docs)
     key = F.md5(F.coalesce(F.col("text"), F.lit("")))
     keep = dropped.filter("first_row").select(
-        F.coalesce("doc_id", F.lit(-1)).alias("_kd"), F.col("text_key").alias("_kt")).distinct()
-    rows = docs.withColumn("_kd", F.coalesce(F.col("doc_id").cast("long"), F.lit(-1))).withColumn("_kt", key)
-    once = Window.partitionBy("_kd", "_kt").orderBy("_kd")
-    return rows.join(keep, ["_kd", "_kt"], "left_semi").withColumn("_kn", F.row_number().over(once)).filter(
-        "_kn = 1").drop("_kd", "_kt", "_kn")
+        F.coalesce("doc_id", F.lit(-1)).alias(kd), F.col("text_key").alias(kt)).distinct()
+    rows = docs.withColumn(kd, F.coalesce(F.col("doc_id").cast("long"), F.lit(-1))).withColumn(kt, key)
+    once = Window.partitionBy(kd, kt).orderBy(kd)
+    return rows.join(keep, [kd, kt], "left_semi").withColumn(kn, F.row_number().over(once)).filter(
+        F.col(kn) == 1).select(*docs.columns)

@@ -36,7 +36,7 @@ def with_base_counts(df: DataFrame, text: str = "text", words: str = "_words") -
     so a text of n words costs n log n, whatever it repeats.
     """
     t = F.coalesce(F.col(text), F.lit(""))
-    lines, windows, starts = "_q_lines", "_q_windows", "_q_starts"
+    lines, windows, starts = (free_name(df, x) for x in ("_q_lines", "_q_windows", "_q_starts"))
     out = df.withColumn(words, words_of(F.col(text))).withColumn(
         lines, F.filter(F.split(t, "\n"), lambda x: F.btrim(x, F.lit(WHITE)) != ""))
     w = F.col(words)

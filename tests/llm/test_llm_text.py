@@ -295,6 +295,25 @@ def test_personal_report(spark):
         assert {f"{KINDS[k]}:{a}:{b}" for a, k, b in base} <= set(got[d]["spans"].split(","))
 
 
+# temporary names
+
+def test_columns_named_like_temporaries_stay(spark):
+    from sensortracks.llm.bpe import encode_decode
+    from sensortracks.llm.langid import identify, language_profiles
+    from sensortracks.llm.neardup import deduplicated
+    from sensortracks.llm.quality import quality_verdict
+
+    extra = ["_p", "_c", "_words", "_q_lines", "_q_windows", "_q_starts", "_kd", "_kt", "_kn"]
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(40).selectExpr(
+        "doc_id", "text", "lang", *[f"concat('x{i}-', doc_id) AS {c}" for i, c in enumerate(extra)]).cache()
+    want = {r["doc_id"]: tuple(r[c] for c in extra) for r in docs.collect()}
+    for out in (identify(docs, language_profiles(docs)), encode_decode(docs, BPE), quality_verdict(docs), deduplicated(docs)):
+        assert set(extra) <= set(out.columns)
+        got = {r["doc_id"]: tuple(r[c] for c in extra) for r in out.collect()}
+        assert got and all(got[d] == want[d] for d in got)
+    docs.unpersist()
+
+
 # HTML
 
 def test_main_text_of_the_pages(spark):
