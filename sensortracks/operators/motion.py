@@ -1,17 +1,175 @@
-"""D3: constant-velocity Kalman filter over known associations, per key."""
+"""D3: constant-velocity Kalman filter over known associations, parallel along time.
+
+Filter steps are associative (Särkkä and García-Fernández, "Temporal
+parallelization of Bayesian smoothers", 2021): any stretch of measurements is one
+element (A, b, C, eta, J) that maps the state before it to the state after it.
+Rows are sorted by key and time over all partitions, so that a long key covers
+several of them; a partition that holds nothing but one key is summed up as an
+element, and a second pass starts every partition from its true state.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from sensortracks.functions import geo
 from sensortracks.schema import INITIAL_VELOCITY_VARIANCE, MIN_VARIANCE
+from sensortracks.session import checkpoint_dir
 
 _STATE = ["east_m", "north_m", "ve_mps", "vn_mps", "p", "pv", "v"]
+#: Rows folded one after another; longer runs are cut into lanes that are folded side by side.
+LANE = 256
+#: Rows a task holds at once.
+CHUNK = 1 << 16
+_NO_WEIGHT = 1e300  # measurement variance of the rows that fill up a lane
+
+
+def _step(state, dt, e, n, r, q):
+    """One predict and update for each column of ``state``."""
+    se, sn, sve, svn, p, pv, v = state
+    dt2 = dt * dt
+    se, sn = se + sve * dt, sn + svn * dt
+    p, pv, v = p + dt * pv * 2 + dt2 * v + q * dt2 * dt2 / 4, pv + dt * v + q * dt2 * dt / 2, v + q * dt2
+    s = p + r
+    kp, kv = p / s, pv / s
+    re, rn = e - se, n - sn
+    return np.array([se + kp * re, sn + kp * rn, sve + kv * re, svn + kv * rn,
+                     np.maximum(p - kp * p, MIN_VARIANCE), pv - kp * pv, np.maximum(v - kv * pv, MIN_VARIANCE)])
+
+
+def _elements(dt, e, n, r, q):
+    """The element of every single measurement; arrays of any one length."""
+    r = np.maximum(r, MIN_VARIANCE)
+    q11, q12, q22 = q * dt ** 4 / 4, q * dt ** 3 / 2, q * dt ** 2
+    s = q11 + r
+    k1, k2, rest = q11 / s, q12 / s, r / s
+    one, y = np.ones_like(dt), np.stack([e, n], -1)[:, None, :]
+    square = lambda *c: np.stack(c, -1).reshape(-1, 2, 2)
+    return (square(rest, rest * dt, -k2, 1 - k2 * dt), np.stack([k1, k2], -1)[:, :, None] * y,
+            square(rest * q11, rest * q12, rest * q12, q22 - k2 * q12),
+            np.stack([one, dt], -1)[:, :, None] * y / s[:, None, None], square(one, dt, dt, dt * dt) / s[:, None, None])
+
+
+def _inverse(m):
+    out = np.stack([m[:, 1, 1], -m[:, 0, 1], -m[:, 1, 0], m[:, 0, 0]], -1).reshape(-1, 2, 2)
+    return out / (m[:, 0, 0] * m[:, 1, 1] - m[:, 0, 1] * m[:, 1, 0])[:, None, None]
+
+
+def _combine(x, y):
+    """The element of ``x`` followed by ``y``."""
+    a1, b1, c1, h1, j1 = x
+    a2, b2, c2, h2, j2 = y
+    d = _inverse(np.eye(2) + c1 @ j2)
+    ad, back = a2 @ d, a1.transpose(0, 2, 1) @ d.transpose(0, 2, 1)
+    return (ad @ a1, ad @ (b1 + c1 @ h2) + b2, ad @ c1 @ a2.transpose(0, 2, 1) + c2,
+            back @ (h2 - j2 @ b1) + h1, back @ j2 @ a1 + j1)
+
+
+def _applied(state, element):
+    """The state after a stretch of measurements, from the one before it."""
+    a, b, c, h, j = (m.reshape(1, 2, 2) for m in element)
+    mean, var = state[:4].reshape(1, 2, 2), state[[4, 5, 5, 6]].reshape(1, 2, 2)
+    ad = a @ _inverse(np.eye(2) + var @ j)
+    mean, var = (ad @ (mean + var @ h) + b)[0], (ad @ var @ a.transpose(0, 2, 1) + c)[0]
+    return np.array([*mean.ravel(), max(var[0, 0], MIN_VARIANCE), var[0, 1], max(var[1, 1], MIN_VARIANCE)])
+
+
+def _lanes(rows, q):
+    """One element for every line of the (lanes, rows a lane) arrays ``rows`` = dt, e, n, r."""
+    out = _elements(*(c[:, 0] for c in rows), q)
+    for i in range(1, rows[0].shape[1]):
+        out = _combine(out, _elements(*(c[:, i] for c in rows), q))
+    return out
+
+
+def _stretch(dt, e, n, r, q):
+    """The element of consecutive measurements, lanes side by side and then halved."""
+    m, lane = len(dt), min(LANE, len(dt))
+    fill = -m % lane
+    rows = [np.r_[c, np.full(fill, x)].reshape(-1, lane) for c, x in ((dt, 0.0), (e, 0.0), (n, 0.0), (r, _NO_WEIGHT))]
+    out = _lanes(rows, q)
+    while len(out[0]) > 1:
+        even = len(out[0]) // 2 * 2
+        pairs = _combine(tuple(c[0:even:2] for c in out), tuple(c[1:even:2] for c in out))
+        out = tuple(np.concatenate([x, c[even:]]) for x, c in zip(pairs, out, strict=True))
+    return out
+
+
+def _fold(rows, first, at, size, state, fresh, q, out):
+    """States of the rows of lanes (``at``, ``size``) into ``out``; the step number is the only loop."""
+    order = np.argsort(-size, kind="stable")
+    at, size, state, fresh = at[order], size[order], state[:, order].copy(), fresh[order]
+    for j in range(int(size[0])):
+        k = np.searchsorted(-size, -j)
+        i = at[:k] + j
+        new = _step(state[:, :k], *(c[i] for c in rows), q)
+        state[:, :k] = np.where(fresh[:k], first[:, i], new) if j == 0 else new
+        out[:, i] = state[:, :k]
+
+
+def _new_runs(pdf: pd.DataFrame, keys: list[str], last: pd.DataFrame | None) -> np.ndarray:
+    """Does a row's key differ from the row before (``last`` before the first)?  Nulls are equal."""
+    both = pdf[keys] if last is None else pd.concat([last[keys], pdf[keys]], ignore_index=True)
+    new = np.zeros(len(both), bool)
+    new[0] = True
+    for k in keys:
+        a, b = both[k].to_numpy()[1:], both[k].to_numpy()[:-1]
+        new[1:] |= (a != b) & ~(pd.isna(a) & pd.isna(b))
+    return new if last is None else new[1:]
+
+
+def _initial(pdf: pd.DataFrame) -> np.ndarray:
+    """The state that each row gives as the first of its key."""
+    e, n, sg, ve, vn = (pdf[c].to_numpy(float) for c in ("_e", "_n", "_s", "_ve", "_vn"))
+    return np.array([e, n, ve, vn, sg * sg, np.zeros(len(e)), np.full(len(e), INITIAL_VELOCITY_VARIANCE)])
+
+
+def _advance(pdf, new, carry, q):
+    """(states, seq, carry) of sorted rows; ``carry`` is (state, time, seq) of the row before the first, if its key goes on."""
+    t, e, n, sg = (pdf[c].to_numpy(d) for c, d in (("_t", np.int64), ("_e", float), ("_n", float), ("_s", float)))
+    state, before, count = carry if carry is not None else (np.zeros(7), t[0], 0)
+    rows = np.maximum(np.diff(t, prepend=before) / 1e6, 0.0), e, n, sg * sg
+    first = _initial(pdf)
+    start = np.flatnonzero(new | (np.arange(len(t)) == 0))
+    length = np.diff(start, append=len(t))
+    out = np.empty((7, len(t)))
+    with np.errstate(all="ignore"):
+        begin = np.zeros((7, len(start)))
+        begin[:, 0] = state
+        _fold(rows, first, start, np.minimum(length, LANE), begin, new[start], q, out)
+        for a, m in zip(start[length > LANE], length[length > LANE], strict=True):
+            at = np.arange(a + LANE, a + m, LANE)
+            begin = np.empty((7, len(at)))
+            begin[:, 0] = out[:, a + LANE - 1]
+            if len(at) > 1:
+                middle = _lanes([c[at[0]:at[-1]].reshape(-1, LANE) for c in rows], q)
+                for i in range(1, len(at)):
+                    begin[:, i] = _applied(begin[:, i - 1], [c[i - 1] for c in middle])
+            _fold(rows, first, at, np.minimum(LANE, a + m - at), begin, np.zeros(len(at), bool), q, out)
+    seq = np.arange(len(t)) - np.repeat(start, length) + 1
+    if not new[0]:
+        seq[:length[0]] += int(count)
+    return out, seq, (out[:, -1], t[-1], seq[-1])
+
+
+def _chunks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    held, rows = [], 0
+    for pdf in batches:
+        if len(pdf):
+            held.append(pdf)
+            rows += len(pdf)
+        if rows >= CHUNK:
+            yield pd.concat(held, ignore_index=True)
+            held, rows = [], 0
+    if held:
+        yield pd.concat(held, ignore_index=True)
 
 
 def kalman_filter(df: DataFrame, key: list[str] | str, time_col: str = "observed_at",
@@ -20,12 +178,14 @@ def kalman_filter(df: DataFrame, key: list[str] | str, time_col: str = "observed
     """Filter each key's measurements in time order; one state row per measurement.
 
     The start state is the first measurement, with velocity from speed and
-    heading (zero unless both are known).  Keys are independent, so this scales
-    with the number of keys; only the current key's state is held.
-    ``order_cols`` break ties between equal times (default: received_at).
+    heading (zero unless both are known).  ``order_cols`` break ties between equal
+    times (default: received_at), the measured values those that remain.  Null keys
+    are one key; an empty table gives an empty result.  A key may hold any share of
+    the rows: it is spread over as many tasks as its rows fill.
     """
     keys = [key] if isinstance(key, str) else list(key)
     order_cols = order_cols or ["received_at"]
+    checkpoint_dir(df.sparkSession)
     p = geo.to_enu(F.col("lat_deg"), F.col("lon_deg"), F.col("alt_m"), origin)
     v = geo.velocity_components(F.col("speed_mps"), F.col("heading_deg"))
     prepared = df.select(*keys, F.unix_micros(time_col).alias("_t"),
@@ -33,53 +193,94 @@ def kalman_filter(df: DataFrame, key: list[str] | str, time_col: str = "observed
                          p.east_m.alias("_e"), p.north_m.alias("_n"), F.col("sigma_m").alias("_s"),
                          v.ve_mps.alias("_ve"), v.vn_mps.alias("_vn"))
     key_fields = [f for f in prepared.schema.fields if f.name in keys]
-    schema = T.StructType(key_fields + [T.StructField("seq", T.LongType()),
-                                        T.StructField("t_us", T.LongType())]
-                          + [T.StructField(c, T.DoubleType()) for c in _STATE])
-    sort_cols = ["_t"] + [f"_o{i}" for i in range(len(order_cols))]
+    order = [*keys, "_t", *[f"_o{i}" for i in range(len(order_cols))], "_e", "_n", "_s", "_ve", "_vn"]
     q = accel_sigma * accel_sigma
+    columns = [*keys, "_t", "_e", "_n", "_s", "_ve", "_vn"]
+    # written once, so that both passes see the same partitions
+    line = prepared.repartitionByRange(*order).sortWithinPartitions(*order).select(*columns)
+    line = line.withColumn("_id", F.monotonically_increasing_id()).checkpoint(eager=True)
+
+    doubles = T.ArrayType(T.DoubleType())
+    end_schema = T.StructType([*key_fields, T.StructField("_part", T.LongType()), T.StructField("_head", doubles),
+                               T.StructField("_state", doubles), T.StructField("_element", doubles)])
+
+    def ends(batches):
+        """Last run of a partition: its state if the key starts here, and if it is the only run, its first row and the element of the others."""
+        last = carry = element = part = head = begun = None
+        alone = True
+        for pdf in _chunks(batches):
+            new = _new_runs(pdf, keys, last)
+            body = slice(0, len(pdf))
+            if head is None:
+                part = int(pdf["_id"].iloc[0]) >> 33
+                head = pdf.loc[0, ["_t", "_e", "_n", "_s"]].to_numpy(float)
+                body = slice(1, len(pdf))
+            starts = np.flatnonzero(new)
+            alone &= not new[body].any()
+            if alone and len(pdf) > body.start:
+                before = carry[1] if carry is not None else pdf["_t"].iloc[0]
+                dt = np.maximum(np.diff(pdf["_t"].to_numpy(np.int64)[body], prepend=before) / 1e6, 0.0)
+                with np.errstate(all="ignore"):
+                    more = _stretch(dt, *(pdf[c].to_numpy(float)[body] for c in ("_e", "_n")),
+                                    pdf["_s"].to_numpy(float)[body] ** 2, q)
+                    element = more if element is None else _combine(element, more)
+            if not alone:
+                tail = starts[-1] if len(starts) else 0
+                _, _, carry = _advance(pdf.iloc[tail:], new[tail:], None if len(starts) else carry, q)
+            else:
+                begun = _initial(pdf)[:, 0] if last is None else begun
+                carry = begun, pdf["_t"].iloc[-1], (0 if last is None else carry[2]) + len(pdf)
+            last = pdf.tail(1)
+        if last is None:
+            return
+        if alone and element is not None:
+            carry = _applied(begun, element), *carry[1:]
+        out = last[keys].reset_index(drop=True)
+        out["_part"] = part
+        out["_head"] = [list(head) if alone else None]
+        out["_state"] = [[*carry[0], carry[1], carry[2]]]
+        out["_element"] = [np.concatenate([m.ravel() for m in element]).tolist() if alone and element is not None else None]
+        yield out
+
+    def chain(pdf: pd.DataFrame) -> pd.DataFrame:
+        """The state at the end of each partition that one key covers, carried from its first one."""
+        pdf = pdf.sort_values("_part", ignore_index=True)
+        states = [np.array(pdf["_state"][0], float)]
+        with np.errstate(all="ignore"):
+            for i in range(1, len(pdf)):
+                t, e, n, sg = pdf["_head"][i]
+                state = _step(states[-1][:7], max((t - states[-1][7]) / 1e6, 0.0), e, n, sg * sg, q)
+                if pdf["_element"][i] is not None:
+                    state = _applied(state, np.array(pdf["_element"][i], float).reshape(5, 4))
+                states.append(np.array([*state, pdf["_state"][i][7], states[-1][8] + pdf["_state"][i][8]]))
+        out = pdf[[*keys, "_next"]].copy()
+        out["_from"] = [s.tolist() for s in states]
+        return out
+
+    # one row a partition: the window and the broadcast are bounded by the number of partitions
+    borders = line.mapInPandas(ends, end_schema).withColumn("_next", F.lead("_part").over(Window.orderBy("_part")))
+    begun = borders.groupBy(*keys).applyInPandas(chain, T.StructType(
+        [*key_fields, T.StructField("_next", T.LongType()), T.StructField("_from", doubles)])).filter("_next is not null")
+    begun = begun.select(F.shiftleft("_next", 33).alias("_first"), F.struct(*keys).alias("_key"), "_from")
+    rows = line.join(F.broadcast(begun), (F.col("_id") == F.col("_first"))
+                     & F.struct(*keys).eqNullSafe(F.col("_key")), "left").select(*columns, "_from")
+
+    schema = T.StructType(key_fields + [T.StructField("seq", T.LongType()), T.StructField("t_us", T.LongType())]
+                          + [T.StructField(c, T.DoubleType()) for c in _STATE])
 
     def run(batches):
-        # Rows arrive hash-partitioned by key and sorted by (key, time): each key
-        # is one contiguous run, possibly spread over several Arrow batches.  The
-        # state of the current key is carried across batches, so memory stays
-        # bounded by one batch however many rows a key has.
-        cur, st, seq = None, None, 0
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            kv = list(zip(*[pdf[k].tolist() for k in keys]))
-            t = pdf["_t"].to_numpy(np.int64)
-            e, n, sg = pdf["_e"].to_numpy(float), pdf["_n"].to_numpy(float), pdf["_s"].to_numpy(float)
-            ve0, vn0 = pdf["_ve"].to_numpy(float), pdf["_vn"].to_numpy(float)
-            out = np.empty((len(pdf), 7))
-            seqs = np.empty(len(pdf), dtype=np.int64)
-            for i in range(len(pdf)):
-                if kv[i] != cur:
-                    cur, seq = kv[i], 1
-                    st = [e[i], n[i], ve0[i], vn0[i], sg[i] * sg[i], 0.0, INITIAL_VELOCITY_VARIANCE, t[i]]
-                else:
-                    seq += 1
-                    se, sn, sve, svn, p, pv, v, t0 = st
-                    dt = (t[i] - t0) / 1e6
-                    if dt > 0:
-                        dt2 = dt * dt
-                        se, sn = se + sve * dt, sn + svn * dt
-                        p, pv, v = (p + dt * pv * 2 + dt2 * v + q * dt2 * dt2 / 4,
-                                    pv + dt * v + q * dt2 * dt / 2, v + q * dt2)
-                    s_ = p + sg[i] * sg[i]
-                    kp, kv_ = p / s_, pv / s_
-                    re, rn = e[i] - se, n[i] - sn
-                    st = [se + kp * re, sn + kp * rn, sve + kv_ * re, svn + kv_ * rn,
-                          max(p - kp * p, MIN_VARIANCE), pv - kp * pv, max(v - kv_ * pv, MIN_VARIANCE), t[i]]
-                out[i] = st[:7]
-                seqs[i] = seq
+        last = carry = None
+        for pdf in _chunks(batches):
+            new = _new_runs(pdf, keys, last)
+            if last is None and pdf["_from"].iloc[0] is not None:
+                start = np.array(pdf["_from"].iloc[0], float)
+                carry, new[0] = (start[:7], int(start[7]), int(start[8])), False
+            out, seq, carry = _advance(pdf, new, carry, q)
+            last = pdf.tail(1)
             res = pdf[keys].copy()
-            res["seq"] = seqs
-            res["t_us"] = t
-            for j, c in enumerate(_STATE):
-                res[c] = out[:, j]
+            res["seq"], res["t_us"] = seq, pdf["_t"]
+            for c, values in zip(_STATE, out, strict=True):
+                res[c] = values
             yield res
 
-    ordered = prepared.repartition(*keys).sortWithinPartitions(*keys, *sort_cols)
-    return ordered.mapInPandas(run, schema)
+    return rows.mapInPandas(run, schema)
