@@ -120,3 +120,86 @@ def test_current_tracks_after_every_batch(spark, tmp_path, replay):
         drain(tables.latest_rows(stream), base, twice if replay else write, "update")
         want = tables.current_tracks(spark.createDataFrame([r for b in batches[:k + 1] for r in b], schema))
         assert sorted(tables.read_current(spark, base + "/out").collect()) == sorted(want.select(*spec.names).collect())
+
+
+class _Value:
+    def __init__(self):
+        self.row = None
+
+    def exists(self):
+        return self.row is not None
+
+    def get(self):
+        return self.row
+
+    def update(self, row):
+        self.row = row
+
+
+class _Map(dict):
+    def getValue(self, key):
+        return self[key]
+
+    def updateValue(self, key, value):
+        self[key] = value
+
+    def removeKey(self, key):
+        del self[key]
+
+
+class _Handle:
+    """State in memory; the list state of earlier versions is empty."""
+
+    def getValueState(self, *_):
+        return _Value()
+
+    def getListState(self, *_):
+        return _Value()
+
+    def getMapState(self, *_):
+        return _Map()
+
+
+@pytest.mark.parametrize("track", [False, True])
+def test_long_micro_batch_waits_in_the_state(track):
+    """A batch of many chunks: at most ``held_rows`` rows (and a chunk) are in memory while it is read; same rows as whole."""
+    import pandas as pd
+
+    from sensortracks.streaming.stateful import TickProcessor
+
+    us, base = 1_000_000, 1_700_000_000_000_000
+
+    def second(i):
+        return i * 37 % 1000 + 300 * ((i >= 700) + (i >= 800))
+
+    def rows(ids, final=False):
+        return pd.DataFrame([{
+            "region": 0, "tick_us": base + second(i) * us, "arrival_us": base + second(i) * us + 5, "final": final,
+            "identity": str(i % 3), "e": float(i % 3) * 1e6 + i % 5, "n": 0.0, "ve0": 0.0, "vn0": 0.0, "attr_key": "", "source_id": "a",
+            "source_type": "A", "observed_us": base + i, "received_us": base + i, "lat_deg": 1.0, "lon_deg": 2.0, "alt_m": None,
+            "speed_mps": None, "heading_deg": None, "sigma_m": 9.0, "attributes": {"k": str(i)}} for i in ids])
+
+    def run(held_rows):
+        p, waiting, out = TickProcessor(2 * us, track=track, held_rows=held_rows), [], []
+        p.init(_Handle())
+
+        def batch(ids, final=False):
+            for a in range(0, len(ids), 50):
+                yield rows(ids[a:a + 50], final)
+                waiting.append(len(p.chunks))
+        for chunks in (batch(range(0, 700)), batch(range(700, 800)), batch(range(800, 1000), True)):
+            out.append(pd.concat([pd.DataFrame(), *p.handleInputRows((0,), chunks, None)], ignore_index=True))
+        assert not p.chunks  # everything is closed in the end
+        return out, waiting
+
+    whole, _ = run(1 << 20)
+    parts, waiting = run(100)
+    assert waiting[2] > 0 and waiting[12] > waiting[2]
+    key = ["tick_us", "local_id"] if track else ["tick_us", "outcome", "observed_us"]
+    for a, b in zip(whole, parts, strict=True):
+        assert a.sort_values(key)[key].values.tolist() == b.sort_values(key)[key].values.tolist()
+    if not track:
+        assert sum(map(len, parts)) == 1000 and "LATE" in set(parts[1]["outcome"])
+    for part in parts:
+        fused = part if track else part[part["outcome"] == "FUSED"]
+        assert fused["tick_us"].is_monotonic_increasing
