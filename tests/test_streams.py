@@ -203,3 +203,18 @@ def test_long_micro_batch_waits_in_the_state(track):
     for part in parts:
         fused = part if track else part[part["outcome"] == "FUSED"]
         assert fused["tick_us"].is_monotonic_increasing
+
+
+def test_a_micro_batch_has_files_for_all_cores(spark):
+    """The derived feeds are written and read by all cores, still in about four micro-batches."""
+    import glob
+
+    from sensortracks.plans.streams import _stream_of
+
+    base, stream = _stream_of(spark, spark.range(10_000), "id", "cores")
+    cores = spark.sparkContext.defaultParallelism
+    files = glob.glob(base.removeprefix("file:") + "/in/*.parquet")
+    assert len(files) == 4 * cores
+    sizes = []
+    drain(stream, base, lambda batch, _: sizes.append(batch.count()))
+    assert sum(sizes) == 10_000 and len(sizes) == 4
