@@ -36,7 +36,7 @@ from sensortracks.session import discard
 
 DEPTH = 5
 TOP_WORDS = 1 << 18
-TOP_GRAMS = 1 << 18
+TOP_GRAMS = 1 << 19
 CHUNK_BYTES = 1 << 20
 TASK_BYTES = 16 << 20
 END = 0xFF  # occurs in no UTF-8 text: closes a text, and pads the context before its first byte
@@ -149,7 +149,8 @@ def gram_log_probs(counts: DataFrame, depth: int = DEPTH) -> DataFrame:
     old: list[str] = []
     counts = written(counts, old)
     bits = _bits(counts, "n")
-    level = bits.groupBy("ctx", "so_far").agg(
+    # dealt by context before the eight rows a gram, so that one row a gram is shuffled
+    level = _bits(counts.repartition(F.shiftright("gram", 8).alias("ctx")), "n").groupBy("ctx", "so_far").agg(
         F.sum(F.when(F.col("bit") == 0, F.col("n")).otherwise(0)).alias("n0"),
         F.sum(F.when(F.col("bit") == 1, F.col("n")).otherwise(0)).alias("n1"))
     level = written(level.withColumn("pw", _log_kt(F.col("n0"), F.col("n1"))).withColumn("stop", F.lit(1.0)), old)
